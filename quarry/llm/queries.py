@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from quarry.llm import packing, sp_codec, sql
+from quarry.llm import exact_dedup, license_scan, packing, sp_codec, sql, ts_media
 from quarry.llm._common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_sp_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.digests(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+@_query
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+@_query
+def op4_ts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts_media.digests(ts_media.read_streams(ts_media.to_streams(documents(spark, sf_dir))))
+
+
+@_query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))

@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from quarry.llm import exact_dedup
+
+SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
