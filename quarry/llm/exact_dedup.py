@@ -45,20 +45,39 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+class RunTree:
+    """The merge tree over runs of (key, doc_id) rows.
+
+    rows: the rows with their run; top: one row per key with best (the smallest
+    doc_id), n (the count) and the smallest of each further column.
+    """
+
+    def __init__(self, rows: DataFrame, key: list[str], *, more: dict | None = None, fan: int = FAN):
+        self.key, self.fan = key, fan
+        self.levels = max(1, math.ceil(math.log(max(2, partitions(rows.sparkSession)), fan)))
+        self.rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(fan**self.levels)))
+        more = more or {}
+        self.runs = [self.rows.groupBy(*key, "run").agg(F.min("doc_id").alias("best"), F.count("*").alias("n"), *(c.alias(k) for k, c in more.items()))]
+        for _ in range(self.levels):
+            sent = self.runs[-1].withColumn("run", F.expr(f"run div {fan}"))
+            self.runs.append(sent.groupBy(*key, "run").agg(F.min("best").alias("best"), F.sum("n").alias("n"), *(F.first(k).alias(k) for k in more)))
+        self.top = self.runs[-1].drop("run")
+
+    def down(self, won: DataFrame, *columns: str) -> DataFrame:
+        """The rows, each with the named columns of its key's row in won."""
+        won = won.select(*self.key, F.lit(0).cast("long").alias("run"), *columns)
+        for level in reversed(self.runs[:-1]):
+            below = level.select(*self.key, F.col("run").alias("own"), F.expr(f"run div {self.fan}").alias("run"))
+            won = below.join(won, [*self.key, "run"]).select(*self.key, F.col("own").alias("run"), *columns)
+        return self.rows.join(won, [*self.key, "run"])
+
+
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    levels = max(1, math.ceil(math.log(max(2, partitions(docs.sparkSession)), fan)))
-    rows = stage(digest_rows(docs, id_col, text_col), "digests").withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(fan**levels)))
-    runs = [rows.groupBy(*_KEY, "run").agg(F.min("doc_id").alias("best"), F.count("*").alias("n"))]
-    for _ in range(levels):
-        sent = runs[-1].withColumn("run", F.expr(f"run div {fan}"))
-        runs.append(sent.groupBy(*_KEY, "run").agg(F.min("best").alias("best"), F.sum("n").alias("n")))
-    won = runs.pop().select(*_KEY, "run", F.col("best").alias("keep_id"), F.col("n").alias("group_size"))
-    for level in [*reversed(runs)]:
-        below = level.select(*_KEY, F.col("run").alias("own"), F.expr(f"run div {fan}").alias("run"))
-        won = below.join(won, [*_KEY, "run"]).select(*_KEY, F.col("own").alias("run"), "keep_id", "group_size")
+    tree = RunTree(stage(digest_rows(docs, id_col, text_col), "digests"), _KEY, fan=fan)
+    rows = tree.down(tree.top.withColumnsRenamed({"best": "keep_id", "n": "group_size"}), "keep_id", "group_size")
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return rows.join(won, [*_KEY, "run"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 ORACLE = f"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from quarry.llm import exact_dedup, license_scan, packing, sp_codec, sql, ts_media
-from quarry.llm._common import documents
+from quarry.llm import exact_dedup, license_scan, near_dup, packing, quality_mil, sp_codec, sql, ts_media
+from quarry.llm._common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = dict(sql.SQL)
@@ -48,3 +48,13 @@ def op4_ts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
+
+
+@_query
+def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.evaluate(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(documents(spark, sf_dir), shingle=2)
