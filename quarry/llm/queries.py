@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from quarry.llm import exact_dedup, license_scan, line_dedup, near_dup, packing, quality_mil, sp_codec, sql, ts_media
+from quarry.llm import exact_dedup, license_scan, line_dedup, near_dup, packing, quality_mil, sp_codec, sql, substring_dedup, ts_media
 from quarry.llm._common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents(spark, sf_dir))
+
+
+@_query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(documents(spark, sf_dir))
