@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from quarry.llm import exact_dedup, license_scan, line_dedup, near_dup, packing, quality_mil, sp_codec, sql, substring_dedup, ts_media
+from quarry.llm import exact_dedup, license_scan, line_dedup, near_dup, packing, quality_mil, sp_codec, sql, substring_dedup, tool_calls, ts_media
 from quarry.llm._common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(documents(spark, sf_dir))
+
+
+@_query
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.from_turns(table(spark, sf_dir, "conversations")), tool_calls.TURN_SCHEMA)
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup
+from quarry.llm import exact_dedup, tool_calls
 
-SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
+SQL: dict[str, str] = {"op2_tool_calls": tool_calls.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}

@@ -358,15 +358,18 @@ def _cut(raw: bytes, ranges: list[dict]) -> tuple[list[bytes], int, int]:
     return keep, int((ends - starts).sum()), len(starts)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     text = text_or_empty(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"), *keep)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that are left)."""
-    keyed = _keyed(docs, id_col, text_col)
-    rows = keyed.join(repeated_ranges(keyed), ["doc_id", "tag"], "left").select("doc_id", "text", "ranges")
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary:
+    the bytes that are left), and the columns named in keep."""
+    keep = keep or []
+    keyed = _keyed(docs, id_col, text_col, keep)
+    ranges = repeated_ranges(keyed.select("doc_id", "tag", "text") if keep else keyed)
+    rows = keyed.join(ranges, ["doc_id", "tag"], "left").select("doc_id", "text", "ranges", *keep)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -378,13 +381,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 out = []
                 for d, text, ranges in zip(*(part.column(names(n)).to_pylist() for n in ("doc_id", "text", "ranges"))):
                     raw = text.encode()
-                    keep, gone, runs = _cut(raw, ranges) if ranges else ([raw], 0, 0)
-                    out.append((None if d == -(1 << 63) else d, len(raw), gone, runs, b"".join(keep)))
+                    left, gone, runs = _cut(raw, ranges) if ranges else ([raw], 0, 0)
+                    out.append((None if d == -(1 << 63) else d, len(raw), gone, runs, b"".join(left)))
                 cols = list(zip(*out))
                 kinds = [*[pa.int64()] * 4, pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                more = [part.column(names(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), *more], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + more)
 
 
 def report(docs: DataFrame) -> DataFrame:
