@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_TABLES = "events documents embeddings pages benchmark conversations customer"
 KINDS = {"STANDARD": "function", "ECONOMY": "method", "MEDIUM": "class", "PROMO": "interface", "LARGE": "variable"}
 
 
@@ -18,9 +17,7 @@ class Views:
 
     def symbols(self) -> DataFrame:
         p = self.table("part")
-        kind = F.lit(None).cast("string")
-        for k, v in KINDS.items():
-            kind = F.when(F.col("p_type") == k, v).otherwise(F.coalesce(kind, F.lit("macro"))) if k == "STANDARD" else F.when(F.col("p_type") == k, v).otherwise(kind)
+        kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), F.col("p_type")), F.lit("macro"))
         line = F.floor(F.col("p_partkey") / 40) * 10 + 1
         return p.select(
             F.col("p_partkey").alias("id"),
