@@ -18,8 +18,8 @@ def knn(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "symbol
     if k == 0:
         return vectors.select(F.col(id_col).alias("id"), F.lit(0.0).alias("distance")).limit(0)
     q = F.array(*(F.lit(float(x)) for x in query))
-    fits = F.assert_true(F.size(vector_col) == len(query), F.lit("vectors of another dimension"))
-    rows = vectors.select(F.col(id_col).alias("id"), fits.alias("_ok"), l2(F.col(vector_col), q).alias("distance")).drop("_ok")
+    wrong = F.raise_error(F.lit("vectors of another dimension")).cast("double")
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(F.size(vector_col) == len(query), l2(F.col(vector_col), q)).otherwise(wrong).alias("distance"))
     return rows.orderBy("distance", "id").limit(k)
 
 
