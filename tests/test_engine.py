@@ -168,3 +168,24 @@ def test_streams(spark, tmp_path):
     seen = []
     debounce.refresh(debounce.changed_stream(stream), str(tmp_path / "cp"), lambda d, k: seen.extend(r.path for r in d.collect())).awaitTermination()
     assert seen == ["p"]
+
+
+def test_inspect_and_evidence(spark):
+    from quarry.operators import evidence
+
+    s = symbols(spark, [(1, "Font.load", "method", "src/font.ts", 2), (2, "Other.skip", "method", "src/o.ts", 1)])
+    src = spark.createDataFrame([("src/font.ts", k, f"line {k}") for k in range(1, 12)], "file string, line long, text string")
+    tables = {"symbols": s, "lines": src}
+    one = evidence.inspect("symbol:1@idx-a", tables, max_lines=2, revision="idx-b")
+    assert (one["start_line"], one["end_line"], one["next_offset"], one["warning"]) == (2, 3, 2, "handle of another revision")
+    two = evidence.inspect("symbol:1", tables, offset=2, max_lines=9)
+    assert (two["start_line"], two["end_line"], two["next_offset"]) == (4, 6, None)
+    whole = evidence.inspect("file:" + b"src/font.ts".hex(), tables, max_lines=3)
+    assert whole["text"] == "line 1\nline 2\nline 3" and whole["next_offset"] == 3
+    for bad in ("x:1", "symbol:", "symbol:a", "file:zz", "file:" + b"../x".hex()):
+        with pytest.raises(ValueError):
+            evidence.inspect(bad, tables)
+    g = graph.build(edges(spark, [(1, 2, "calls", 0.9)]))
+    found = evidence.pack("How does `Font.load` work?", s, g, src)
+    assert found["answers"][0]["hits"][0]["name"] == "Font.load" and found["slices"] and found["coverage"]["answered"] == 1
+    assert len(evidence.batch(["Font", {"query": "skip", "limit": 2}], s, g)) == 2
