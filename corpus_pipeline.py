@@ -41,10 +41,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def fresh_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a 200-byte string that starts elsewhere too go; what a
-    cut leaves of a character goes with them. Texts without words go."""
+    cut leaves of a character goes with them. Texts that go whole go as documents."""
     cut = substring_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    cut = cut.where("n_removed = 0 or n_removed < n_bytes")
-    return _retext(cut.withColumnRenamed("kept", "text"), F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("text").cast("string"))), "�", "")).select(*docs.columns)
+    cut = cut.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", F.col("kept").cast("string"))
+    text = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8("text"), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
+    return _retext(cut, text).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
