@@ -23,3 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "component")
         if moved.where("moved").isEmpty():
             return labels
+
+
+def joined_components(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """named (node, component) after further edges a, b; only components that
+    the edges touch are worked on."""
+    name = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    lifted = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    lifted = stage(lifted, "edges")
+    merged = components(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    known = named.select("node", "component").union(lifted.select("a", "ca")).union(lifted.select("b", "cb")).distinct()
+    new = merged.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    return stage(known.join(new, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")

@@ -10,8 +10,9 @@ Equal sets are one class from the start. Within a bucket, candidate edges are
 a star: all members against the smallest one, so their number is linear in
 the members. A candidate is confirmed on the full sets. Confirmed links join
 classes into components; a bucket that is within one component is finished,
-and one that is not gets further stars, or, once no more than PAIRS_BELOW
-members are left, its pairs between components. So no pair that shares a
+and one that is not gets further stars (twice as many each time), or, once no
+more than PAIRS_BELOW members are outside its largest component, the pairs of
+those with all others. So no pair that shares a
 bucket and could join two components stays untested, and no cap drops one.
 
 At Jaccard 0.8 a pair shares no bucket with a chance of 6e-5 (ROWS 6, BANDS 32).
@@ -29,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import arrow_rows, stage, text_batches, text_or_empty
-from quarry.llm._graph import components
+from quarry.llm._common import stage, text_batches, text_or_empty
+from quarry.llm._graph import components, joined_components
 from quarry.llm._words import Rolling, bounds, joined, mix
 from quarry.llm.exact_dedup import RunTree
 
@@ -62,10 +64,10 @@ def shingle_sets(texts: list[str], shingle: int) -> list[np.ndarray]:
         if b - a >= shingle:
             out.append(np.unique(whole[a : b - shingle + 1]))
         elif b > a:
-            h = words[a]
+            h = words[a : a + 1]
             for k in range(a + 1, b):
-                h = mix(np.array([h * _U(0xC2B2AE3D27D4EB4F) + words[k]]))[0]
-            out.append(np.array([h ^ _U(b - a)]))
+                h = mix(h * _U(0xC2B2AE3D27D4EB4F) + words[k : k + 1])
+            out.append(h ^ _U(b - a))
         else:
             out.append(words[:0])
     return out
@@ -121,39 +123,25 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: int, of: int) -> DataFrame:
-    """The rows (a, b) of pairs whose full sets have of * intersection >= least * union."""
+def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, hashes: the whole set of each document, sorted."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def some_rows() -> Iterator[list]:
-            rows, held = [], 0
-            for r in arrow_rows(batches, "a", "b", "ta", "tb"):
-                rows.append(r)
-                held += len(r[3])
-                if held >= 2_000_000:
-                    yield rows
-                    rows, held = [], 0
-            if rows:
-                yield rows
-
-        for rows in some_rows():
-            left = list(dict.fromkeys(r[2] for r in rows))
-            sets = dict(zip(left, shingle_sets(left, shingle)))
-            good = []
-            for (a, b, ta, _), t in zip(rows, shingle_sets([r[3] for r in rows], shingle)):
-                s = sets[ta]
-                spot = np.searchsorted(s, t)
-                spot[spot == len(s)] = 0
-                both = int((s[spot] == t).sum()) if len(s) else 0
-                if both and of * both >= least * (len(s) + len(t) - both):
-                    good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+        for some in text_batches(batches):
+            sets = [s.view(np.int64) for s in shingle_sets([t for _, t in some], shingle)]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "hashes"])
+
+    return docs.mapInArrow(run, "doc_id long, hashes array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
+    """The rows (a, b) of pairs whose full sets have of * intersection >= least * union."""
+    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("sa")), "a")
+    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return two.where(of * both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: int = NUMERATOR, of: int = DENOMINATOR, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -165,36 +153,37 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     member = classes.where("best is not null").select(F.explode("keys").alias("bucket"), F.col("best").alias("node"), "size")
     star = member.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     member = stage(member.join(star, "bucket").select("bucket", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "members")
-    texts = stage(own.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    sets = stage(sets_of(own.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "sets")
 
     fits = f"{of} * least(size, hub_size) >= {least} * greatest(size, hub_size)"
     tested = member.where("node <> hub").where(fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tested = stage(tested, "pairs")
-    links = stage(confirmed(tested, texts, shingle, least, of), "links")
+    links = stage(confirmed(tested, sets, least, of), "links")
     member = member.where("node <> hub").select("bucket", "node", "size").union(member.groupBy("bucket").agg(F.min(F.struct("hub", "hub_size")).alias("h")).select("bucket", "h.hub", "h.hub_size"))
     done = member.limit(0).select("bucket", "node")  # hubs that met all of their bucket
-    named = components(links)
+    named, width = components(links), 1
     while True:
         state = member.join(named, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
-        split = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        state = stage(state.join(split.select("bucket", "m"), "bucket"), "open")
+        parts = state.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        split = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("base"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+        state = stage(state.join(split, "bucket"), "open")
         if state.isEmpty():
             break
-        few, many = state.where(F.col("m") <= PAIRS_BELOW), state.where(F.col("m") > PAIRS_BELOW)
-        other = few.select("bucket", F.col("node").alias("a"), F.col("size").alias("hub_size"), F.col("component").alias("ca"))
-        pairs = few.join(other, "bucket").where("a < node and ca <> component").where(fits).select("a", F.col("node").alias("b"))
+        few, many = state.where(F.col("outside") <= PAIRS_BELOW), state.where(F.col("outside") > PAIRS_BELOW)
+        other = lambda d: d.select("bucket", F.col("node").alias("a"), F.col("size").alias("hub_size"), F.col("component").alias("ca"))
+        pair = (F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        pairs = few.join(other(few.where("component <> base")), "bucket").where("ca <> component").where(fits).select(*pair)
         waiting = many.join(done, ["bucket", "node"], "left_anti")
-        hubs = waiting.groupBy("bucket").agg(F.min(F.struct("node", "size", "component")).alias("h"))
-        hubs = stage(hubs.select("bucket", F.col("h.node").alias("a"), F.col("h.size").alias("hub_size"), F.col("h.component").alias("ca")), "hubs")
-        stars = many.join(hubs, "bucket").where("a <> node and ca <> component").where(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        hubs = stage(other(waiting.withColumn("turn", turn).where(F.col("turn") <= width).drop("turn")), "hubs")
+        stars = many.join(hubs, "bucket").where("ca <> component").where(fits).select(*pair)
         fresh = stage(pairs.union(stars).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stage(confirmed(fresh, texts, shingle, least, of), "links")
-        tested, links = tested.union(fresh), links.union(found)
-        done = done.union(hubs.select("bucket", F.col("a").alias("node")))
-        left = waiting.join(hubs.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket").distinct()
-        member = stage(many.join(left, "bucket", "left_semi").select("bucket", "node", "size"), "members")
-        if not found.isEmpty():
-            named = components(links)
+        found = stage(confirmed(fresh, sets, least, of), "links")
+        tested, done, width = tested.union(fresh), done.union(hubs.select("bucket", F.col("a").alias("node"))), 2 * width
+        # with one member or none that was no hub yet, all pairs of a bucket are tested
+        met = many.join(done, ["bucket", "node"], "left_anti").groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        member = stage(many.join(met.select("bucket"), "bucket", "left_semi").select("bucket", "node", "size"), "members")
+        named = joined_components(named, found)
 
     best = classes.join(named, classes["best"] == named["node"], "left").select("digest", F.coalesce("component", "best").alias("component_id"))
     linked = tree.down(best, "component_id").select("doc_id", "n_shingles", "component_id")
