@@ -149,6 +149,6 @@ class Engine:
         found = files.discover(self.spark, self.root)
         stale = index.stale_files(found, self.store.read("index_meta"), FINGERPRINT).count()
         counts = {n: self.store.read(n).count() for n in schemas.SCHEMAS}
-        edges = self.store.read("edges").agg(F.count_if("target_id is not null").alias("resolved"), F.count_if("target_id is null").alias("unresolved"))
+        edges = self.store.read("edges").agg(F.count_if(F.col("target_id").isNotNull()).alias("resolved"), F.count_if(F.col("target_id").isNull()).alias("unresolved"))
         row = index.health(edges.withColumns({"stale": F.lit(stale), "degraded": F.lit(False)})).first()
         return counts | row.asDict() | {"schema_version": schemas.SCHEMA_VERSION, "revision": index.revision(self.store.read("symbols")).first()["revision"]}
