@@ -7,8 +7,8 @@ that a universal hash sequence of its own finds first (optimal densification).
 Rows of ROWS bins form BANDS bucket keys.
 
 Equal sets are one class from the start. Within a bucket, candidate edges are
-a star: all members against the smallest one, so their number is linear in
-the members. A candidate is confirmed on the full sets. Confirmed links join
+a star: all members against the one that shares most buckets with others, so
+their number is linear in the members. A candidate is confirmed on the full sets. Confirmed links join
 classes into components; a bucket that is within one component is finished,
 and one that is not gets further stars (twice as many each time), or, once no
 more than PAIRS_BELOW members are outside its largest component, the pairs of
@@ -151,16 +151,23 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     tree = RunTree(signed.where("digest is not null").select("digest", "doc_id", "n_shingles", "keys"), ["digest"], more={"size": F.first("n_shingles"), "keys": F.first("keys")})
     classes = stage(tree.top, "classes")
     member = classes.where("best is not null").select(F.explode("keys").alias("bucket"), F.col("best").alias("node"), "size")
-    star = member.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    member = stage(member.join(star, "bucket").select("bucket", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "members")
+    many = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    member = stage(member.join(many, "bucket"), "shared")
+    # the hub of a bucket is the member that shares most with others: of a text and its edited copies, the text
+    weight = member.groupBy("node").agg(F.sum("m").alias("weight"))
+    member = member.join(weight, "node")
+    star = member.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "size")).alias("hub"))
+    member = member.join(star, "bucket").select("bucket", "node", "size", (-F.col("hub.minus")).alias("hub"), F.col("hub.size").alias("hub_size"))
+    member = stage(member, "members")
     sets = stage(sets_of(own.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "sets")
 
     fits = f"{of} * least(size, hub_size) >= {least} * greatest(size, hub_size)"
-    tested = member.where("node <> hub").where(fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tested = member.where("node <> hub").where(fits).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     tested = stage(tested, "pairs")
     links = stage(confirmed(tested, sets, least, of), "links")
-    member = member.where("node <> hub").select("bucket", "node", "size").union(member.groupBy("bucket").agg(F.min(F.struct("hub", "hub_size")).alias("h")).select("bucket", "h.hub", "h.hub_size"))
-    done = member.limit(0).select("bucket", "node")  # hubs that met all of their bucket
+    member = member.select("bucket", "node", "size", "hub")
+    done = member.where("node = hub").select("bucket", "node")  # hubs that met all of their bucket
+    member = member.drop("hub")
     named, width = components(links), 1
     while True:
         state = member.join(named, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
