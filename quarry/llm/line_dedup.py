@@ -11,8 +11,8 @@ and candidates are verified on all tokens. A line is removed if an earlier one
 
 Equal lines are one class from the start. In each token's group the candidates
 are a star around the earliest line; lines that it does not match meet the
-others in further stars, or all earlier lines of the group once no more than
-FEW of them are left. So candidates stay linear in a group, and every pair that
+others in further stars (twice as many each time), or all earlier lines of the
+group once no more than FEW of them are left. So candidates stay linear in a group, and every pair that
 the filters leave open is verified unless its later line is already removed.
 
 All work is DataFrame expressions. Nulls: a null text has one blank line; lines
@@ -22,7 +22,7 @@ lines' places, and of equal places one stands for all. Empty tables give none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm._common import SPACE_RUN, stage, text_or_empty
@@ -76,7 +76,7 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * least / of).cast("int") + 1)
     first = tokens.select("class", F.struct("doc_id", "line_no").alias("at"), n.alias("n"), prefix.alias("prefix"))
-    first = first.groupBy("class").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    first = stage(first.groupBy("class").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
     entry = first.select(F.col("at.doc_id").alias("d"), F.col("at.line_no").alias("l"), "n", F.posexplode("prefix").alias("pos", "token"))
 
     # stars: a token's earliest line, and the others
@@ -104,27 +104,26 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     entry = entry.select("token", "d", "l", "n", "pos")
     used = hub.select("token", F.col("hub.d").alias("d"), F.col("hub.l").alias("l"))
     used = stage(used.join(entry.select("token").distinct(), "token", "left_semi"), "hubs")
+    width = 1
     while True:
-        # lines not matched yet, in groups where an earlier line is still unmet
-        done = found.select(F.col("yd").alias("d"), F.col("yl").alias("l"))
-        left = entry.join(done, ["d", "l"], "left_anti").join(used, ["token", "d", "l"], "left_anti")
-        size = left.groupBy("token").agg(F.count("*").alias("u"))
-        groups = entry.join(used, ["token", "d", "l"], "left_anti").groupBy("token").agg(F.min(F.struct("d", "l", "n", "pos")).alias("hub"), F.count("*").alias("m"))
-        groups = stage(groups.join(size, "token").where("m > 1"), "groups")
-        if groups.isEmpty():
+        # per group: lines not matched yet (u), lines that are no hub yet (m)
+        done = found.select(F.col("yd").alias("d"), F.col("yl").alias("l"), F.lit(True).alias("matched")).distinct()
+        state = entry.join(done, ["d", "l"], "left").join(used.withColumn("hub", F.lit(True)), ["token", "d", "l"], "left")
+        state = state.withColumn("left", F.col("matched").isNull() & F.col("hub").isNull()).withColumn("unmet", F.col("hub").isNull())
+        size = state.groupBy("token").agg(F.count_if("left").alias("u"), F.count_if("unmet").alias("m")).where("u > 0 and m > 1")
+        state = stage(state.where("unmet").join(size, "token").select("token", "d", "l", "n", "pos", "left", "u"), "open")
+        if state.isEmpty():
             break
-        left = stage(left.join(groups.select("token"), "token", "left_semi"), "left")
-        few = left.join(groups.where(F.col("u") <= FEW).select("token"), "token", "left_semi")
-        others = entry.join(used, ["token", "d", "l"], "left_anti").join(groups.where(F.col("u") <= FEW).select("token"), "token", "left_semi")
-        direct = few.join(others.select("token", F.struct("d", "l", "n", "pos").alias("hub")), "token").where(later).where(open_pair)
-        star = left.join(groups.where(F.col("u") > FEW).select("token", "hub"), "token").where(later).where(open_pair)
-        fresh = direct.selectExpr(*pair).union(star.selectExpr(*pair)).distinct().join(pairs, ["xd", "xl", "yd", "yl"], "left_anti")
+        few, many = state.where(F.col("u") <= FEW), state.where(F.col("u") > FEW)
+        turn = F.row_number().over(Window.partitionBy("token").orderBy("d", "l"))
+        hubs = stage(many.withColumn("turn", turn).where(F.col("turn") <= width).select("token", F.struct("d", "l", "n", "pos").alias("hub")), "hubs")
+        met = few.select("token", F.struct("d", "l", "n", "pos").alias("hub")).union(hubs)
+        fresh = state.where("left").join(met, "token").where(later).where(open_pair).selectExpr(*pair).distinct().join(pairs, ["xd", "xl", "yd", "yl"], "left_anti")
         fresh = stage(fresh, "pairs")
         new = stage(verified(fresh), "matches")
-        pairs, found = pairs.union(fresh), found.union(new)
-        over = groups.where(F.col("u") > FEW)
-        used = stage(used.union(over.select("token", "hub.d", "hub.l")), "hubs")
-        entry = stage(entry.join(over.select("token"), "token", "left_semi"), "entries")
+        pairs, found, width = pairs.union(fresh), found.union(new), 2 * width
+        used = used.union(hubs.select("token", "hub.d", "hub.l"))
+        entry = stage(many.select("token", "d", "l", "n", "pos"), "entries")
 
     best = stage(found.groupBy("yd", "yl").agg(F.min(F.struct("xd", "xl")).alias("x")), "matches")
     places = tokens.select("class", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
