@@ -320,6 +320,11 @@ def shortest_path_len(v: Views) -> DataFrame:
     return graph.bfs(graph.build(v.resolved()), _one(v), 3).where("id % 100 = 77").select("id", "depth")
 
 
+@query()
+def shortest_path_all(v: Views) -> DataFrame:
+    return graph.reached(graph.build(v.resolved()), _one(v)).select("id", "depth")
+
+
 _NODES = ", nodes as (select source_id as id from best union select target_id from best), ins as (select target_id as id, count(distinct source_id) as n from best group by all), cen as (select id, coalesce(n, 0) / ((select count(*) from nodes) - 1) as centrality from nodes left join ins using (id))"
 
 

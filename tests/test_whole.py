@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 
+from quarry.operators import graph
 from quarry.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -22,3 +23,29 @@ def test_all_callsites(spark):
     assert len(got) == len(want)
     assert {(r.call_id, r.target_id): (r.confidence, r.resolved_id) for r in got} == want
     assert any(r.call_id % 25 for r in got)
+
+
+def test_paths_without_bound(spark):
+    shape = "source_id long, target_id long, relationship string, confidence double"
+    chain = graph.build(spark.createDataFrame([(k, k + 1, "calls", 1.0) for k in range(17)], shape))
+    assert graph.shortest_path(chain, 0, 17) == list(range(18))
+    ring = graph.build(spark.createDataFrame([(k, (k + 1) % 5, "calls", 1.0) for k in range(5)] + [(50, 51, "calls", 1.0)], shape))
+    assert graph.shortest_path(ring, 0, 51) is None
+    one = spark.createDataFrame([(2,)], "source long")
+    assert {r.id: r.depth for r in graph.reached(ring, one, reverse=True).collect()} == {1: 1, 0: 2, 4: 3, 3: 4}
+
+
+def test_all_path_lengths(spark):
+    lines = duckdb.sql(f"select l_partkey, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity), l_linestatus from '{DIR}/lineitem.parquet'").fetchall()
+    out = {}
+    for a, b, s in lines:
+        if b is not None and a != b and s == "F":
+            out.setdefault(a, set()).add(b)
+    want, level, depth = {registry.TARGET: 0}, {registry.TARGET}, 0
+    while level:
+        depth += 1
+        level = {b for a in level for b in out.get(a, ())} - want.keys()
+        want |= dict.fromkeys(level, depth)
+    del want[registry.TARGET]
+    got = registry.QUERIES["shortest_path_all"](spark, DIR).collect()
+    assert len(got) == len(want) and {r.id: r.depth for r in got} == want
