@@ -16,8 +16,10 @@ group once no more than FEW of them are left. So candidates stay linear in a gro
 the filters leave open is verified unless its later line is already removed.
 
 All work is DataFrame expressions. Nulls: a null text has one blank line; lines
-of a null id count as later than all others. Rows that share an id share its
-lines' places, and of equal places one stands for all. Empty tables give none.
+of a null id count as later than all others. A line's document is its row's id and
+the digest of its whole text, so rows that share an id, or have none, are apart, in
+the order of their digests. Of rows that are equal in both one goes through the
+join; dedup takes every line with words from the others. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -34,10 +36,15 @@ BROADCAST_ROWS = 1_000_000
 _MASK = (1 << 57) - 1
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line_no (from 0), line; the rows of a null id get the largest id."""
+def _key(id_col: str, text_col: str) -> Column:
+    """A row's id, the largest where it is null, and the digest of its whole text."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(key.alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"))
+    return F.struct(key.alias("id"), F.unhex(F.md5(text_or_empty(text_col).cast("binary"))).alias("digest"))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (see _key), line_no (from 0), line."""
+    return docs.select(_key(id_col, text_col).alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"))
 
 
 def _words(line: str) -> Column:
@@ -67,8 +74,8 @@ def rarity(lines: DataFrame, shingle: int) -> Column:
 
 
 def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: int = LEAST, of: int = OF) -> DataFrame:
-    """The lines to remove: doc_id, line_no, and the earlier line that each matches
-    (of_doc, of_line)."""
+    """The lines to remove: doc_id (see _key), line_no, and the earlier line that each
+    matches (of_doc, of_line)."""
     lines = _lines(docs, id_col, text_col).withColumn("words", _words("line")).where(F.size("words") > 0)
     levels = rarity(lines, shingle)
     text_key = F.unhex(F.md5(F.concat_ws(" ", "words").cast("binary"))).alias("class")
@@ -134,13 +141,25 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return gone.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.col("of.d").alias("of_doc"), F.col("of.l").alias("of_line"))
 
 
+def _copies(keyed: DataFrame) -> DataFrame:
+    """keyed (with _key) with _copy: whether an equal key stands in an earlier row."""
+    shared = stage(keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"), "copies")
+    if shared.isEmpty():
+        return keyed.withColumn("_copy", F.lit(False))
+    rows = stage(keyed.join(shared, "_key", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "copies")
+    first = rows.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row", F.lit(False).alias("_copy"))
+    rows = rows.join(first, "_row", "left").withColumn("_copy", F.coalesce("_copy", F.lit(True))).drop("_row")
+    return keyed.join(shared, "_key", "left_anti").withColumn("_copy", F.lit(False)).unionByName(rows)
+
+
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
     """docs with the matched lines taken out of text; n_lines and n_removed are added."""
     gone = matched_lines(docs, id_col=id_col, text_col=text_col, **parameters)
     gone = gone.groupBy(F.col("doc_id").alias("_key")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    both = docs.withColumn("_key", key).join(gone, "_key", "left")
+    both = _copies(docs.withColumn("_key", _key(id_col, text_col))).join(gone, "_key", "left")
     lines = F.split(text_or_empty(text_col), "\n")
+    worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike("[^\\x20\\x09-\\x0D]"))
+    both = both.withColumn("_gone", F.when(F.col("_copy"), F.when(F.size(worded) > 0, worded)).otherwise(F.col("_gone")))
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return both.select(
         *(F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns),
