@@ -46,16 +46,29 @@ class Engine:
         pairs = coupling.cochange(git.commits(self.spark, self.root, extensions=files.EXTENSIONS)) if history else self.store.read("cochange")
         all_facts = keep("facts", facts)
         cards = index.role_cards(all_symbols, all_facts, edges.where("target_id is not null"), pairs)
-        none = F.expr("cast(array() as array<string>)")
-        cards = cards.withColumns({"content_hash": F.lit(""), "imported": none, "tests": none})
+        fresh = todo.select("file", "content_hash", F.lit(FINGERPRINT).alias("fingerprint"), F.current_timestamp().alias("last_indexed"))
+        meta_now = keep("index_meta", fresh)
+        all_aliases = keep("aliases", aliases)
+        cards = self._imported(cards, edges, all_aliases, all_symbols, meta_now).withColumn("content_hash", F.lit(""))
         text = symbols.select("id", F.concat_ws(" ", "kind", "name", "context").alias("text"))
         vectors = vector.hashing_embed(text, "id", "text", DIMS).withColumnRenamed("id", "symbol_id")
         kept = self.store.read("embeddings").join(gone, F.col("symbol_id") == F.col("id"), "left_anti").unionByName(vectors)
-        fresh = todo.select("file", "content_hash", F.lit(FINGERPRINT).alias("fingerprint"), F.current_timestamp().alias("last_indexed"))
-        self.store.write({"symbols": all_symbols, "edges": edges, "facts": all_facts, "callsites": keep("callsites", calls), "aliases": keep("aliases", aliases), "cochange": pairs, "role_cards": cards, "embeddings": kept, "index_meta": keep("index_meta", fresh)})
+        self.store.write({"symbols": all_symbols, "edges": edges, "facts": all_facts, "callsites": keep("callsites", calls), "aliases": all_aliases, "cochange": pairs, "role_cards": cards, "embeddings": kept, "index_meta": meta_now})
         counts = {r["state"]: r["count"] for r in stale.groupBy("state").count().collect()}
         return {"files_new": counts.get("new", 0), "files_changed": counts.get("changed", 0), "files_deleted": counts.get("deleted", 0), "errors": parsed.where("what = 'error'").count()}
 
+    def _imported(self, cards: DataFrame, edges: DataFrame, aliases: DataFrame, symbols: DataFrame, files: DataFrame, items: int = 16) -> DataFrame:
+        """cards with imported, the first names of what a file's imports and aliases name, and tests, other test files whose path has its stem."""
+        place = symbols.select(F.col("id").alias("source_id"), "file")
+        names = edges.where("relationship = 'imports'").join(place, "source_id").select("file", F.coalesce("target_file", "target_name").alias("name"))
+        names = names.union(aliases.select("file", "source")).groupBy("file").agg(F.slice(F.array_sort(F.collect_set("name")), 1, items).alias("imported"))
+        none = F.expr("cast(array() as array<string>)")
+        stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), "(?<=.)\\.[^.]*$", "")
+        others = files.select(F.col("file").alias("test")).where(F.lower("test").rlike("test|spec"))
+        met = cards.select("file", F.lower(stem).alias("stem")).join(others, F.expr("stem <> '' and test <> file and lower(test) like concat('%', stem, '%')"))
+        touching = met.groupBy("file").agg(F.slice(F.array_sort(F.collect_set("test")), 1, 8).alias("tests"))
+        return cards.join(names, "file", "left").join(touching, "file", "left").withColumns({"imported": F.coalesce("imported", none), "tests": F.coalesce("tests", none)})
+
     def _edges(self, rows: DataFrame, symbols: DataFrame) -> DataFrame:
         """Parsed edges with their source's id; imports belong to the file's first symbol."""
         named = symbols.groupBy("file", F.col("name").alias("source")).agg(F.max_by("id", F.struct("line", "id")).alias("by_name"))

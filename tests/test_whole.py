@@ -49,3 +49,19 @@ def test_all_path_lengths(spark):
     del want[registry.TARGET]
     got = registry.QUERIES["shortest_path_all"](spark, DIR).collect()
     assert len(got) == len(want) and {r.id: r.depth for r in got} == want
+
+
+def test_cards_of_a_tree(spark, tmp_path):
+    from quarry.plans.engine import Engine
+
+    root = tmp_path / "tree"
+    (root / "src").mkdir(parents=True)
+    (root / "src/page.ts").write_text("import { helper as h } from './lib';\nexport class Page {\n  run() {\n    h(1);\n  }\n}\n")
+    (root / "src/lib.ts").write_text("export function helper(x) {\n  return x + 1;\n}\n")
+    (root / "src/lib.spec.ts").write_text("import { helper } from './lib';\nexport function check() {\n  return helper(1);\n}\n")
+    e = Engine(spark, str(root), str(tmp_path / "store"))
+    e.reindex(history=False)
+    cards = {r.file: r for r in e.store.read("role_cards").collect()}
+    assert {f: r.tests for f, r in cards.items()} == {"src/page.ts": [], "src/lib.ts": ["src/lib.spec.ts"], "src/lib.spec.ts": []}
+    assert cards["src/lib.ts"].imported == [] and cards["src/page.ts"].imported and cards["src/page.ts"].imported == cards["src/lib.spec.ts"].imported
+    assert all("lib" in x for x in cards["src/page.ts"].imported), cards["src/page.ts"].imported
