@@ -30,20 +30,45 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"file:///tmp/checkpoints/{os.getuid()}"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return f"file:///tmp/checkpoints/{os.getuid()}"
+
+
+#: Shuffle files of a write that has ended are of no more use: what it wrote is read instead.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Staged tables of one operator, each written to the shared folder and read
+    again: lineage ends there, so a lost executor costs no more than the step
+    that reads it. drop() deletes tables that no later step reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_dir(spark)
+        self.paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.folder}/{label}-{uuid.uuid4().hex}"
+        before = self.spark.conf.get(_TIDY, "false")
+        self.spark.conf.set(_TIDY, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_TIDY, before)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(read)] = path
+        return read
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(frame)))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends here,
-    so a lost executor costs no more than the step that reads it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again (see Scratch)."""
+    return Scratch(df.sparkSession).keep(df, label)
 
 
 def partitions(spark: SparkSession) -> int:

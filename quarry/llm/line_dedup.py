@@ -1,25 +1,32 @@
 """Repeated lines by an exact set-similarity join.
 
 A line's tokens are its distinct shingles of SHINGLE words (A-Z lowered; a
-shorter line is one token). Tokens are ordered by rarity: frequencies are
-counted over all lines in a table of CELLS hashed cells, a fixed size, and the
-order is by that count and then by the token, the same for every line. Two
-lines of Jaccard similarity at least LEAST / OF share a token within their
-prefixes, so only prefixes are joined, under the length and positional filters,
-and candidates are verified on all tokens. A line is removed if an earlier one
-(by document, then line) matches it; blank lines never match.
-
-Equal lines are one class from the start. In each token's group the candidates
-are a star around the earliest line; lines that it does not match meet the
-others in further stars (twice as many each time), or all earlier lines of the
-group once no more than FEW of them are left. So candidates stay linear in a group, and every pair that
-the filters leave open is verified unless its later line is already removed.
+shorter line is one token). A line is removed if an earlier one (by document,
+then line) has a Jaccard similarity of at least LEAST / OF; blank lines never
+match. Equal lines are one class from the start. Between classes:
+
+1. Sample. Two lines that match miss at most a share 1 - LEAST / OF of either's
+   tokens. So of the tokens that come first in any fixed order, that share plus
+   k hold at least k common ones, in both lines. The order here is by the hash
+   of a token's first word, as only the chosen tokens are then hashed whole.
+   One that only a single class has is in no match; a line with fewer than k
+   others is done.
+2. Rarity. Of the lines that stay all tokens are counted exactly and ordered by
+   rarity. A line stays if others have a share LEAST / OF of its tokens; its prefix
+   is the rarest tokens, so many that a match cannot lie in the rest alone.
+3. Groups. Lines whose prefixes share a token meet, under the length and
+   positional filters; pairs are verified on all tokens. A group's hubs are its
+   earliest lines, WIDTH times as many in each round, which meet the later lines that
+   nothing has matched yet, until no such line or no hub is left. So candidates
+   grow with the lines that stay, not with the pairs of a group's copies.
 
 All work is DataFrame expressions. Nulls: a null text has one blank line; lines
 of a null id count as later than all others. A line's document is its row's id and
 the digest of its whole text, so rows that share an id, or have none, are apart, in
 the order of their digests. Of rows that are equal in both one goes through the
-join; dedup takes every line with words from the others. Empty tables give none.
+join; dedup takes every line with words from the others. Very long texts are only
+long arrays; empty tables give none. dedup's n_lines and n_removed stand in for
+input columns of these names; no other name clashes.
 """
 
 from __future__ import annotations
@@ -27,144 +34,173 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import SPACE_RUN, stage, text_or_empty
+from quarry.llm._common import Scratch, text_or_empty
 
-SHINGLE, LEAST, OF, FEW = 5, 80, 100, 48
-CELLS = 1 << 16
-#: So many candidate lines are looked up by broadcast at most; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-_MASK = (1 << 57) - 1
+SHINGLE, LEAST, OF, WIDTH = 5, 80, 100, 8
+#: Of MORE tokens one is sampled beyond the share that may be missed.
+MORE = 10
+_LAST = (1 << 63) - 1
+_FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz    "
 
 
-def _key(id_col: str, text_col: str) -> Column:
+def _key(id_col: str, text_col: str) -> list[Column]:
     """A row's id, the largest where it is null, and the digest of its whole text."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    return F.struct(key.alias("id"), F.unhex(F.md5(text_or_empty(text_col).cast("binary"))).alias("digest"))
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    return [own.alias("id"), F.unhex(F.md5(text_or_empty(text_col).cast("binary"))).alias("digest")]
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (see _key), line_no (from 0), line."""
-    return docs.select(_key(id_col, text_col).alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"))
+def _split(text: Column) -> Column:
+    """The lines of a text, A-Z lowered and white space as blanks."""
+    return F.split(F.translate(text, _FROM, _TO), "\n")
 
 
-def _words(line: str) -> Column:
-    low = F.translate(F.col(line), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_remove(F.split(low, SPACE_RUN), "")
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
-def _hashes(words: Column, shingle: int) -> Column:
-    n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), n - (shingle - 1)), lambda i: F.xxhash64(F.slice(words, i, shingle)))
-    return F.array_distinct(F.when(n >= shingle, many).otherwise(F.array(F.xxhash64(words))))
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once (a column named in a lambda may be computed for each element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _tokens(words: Column, shingle: int, levels: Column) -> Column:
-    """Sorted tokens: the rarity level in the upper bits, the hash below."""
-    rank = lambda h: F.shiftleft(F.element_at(levels, (F.pmod(h, F.lit(CELLS)) + 1).cast("int")), 57).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
-    return F.array_sort(F.transform(_hashes(words, shingle), rank))
+def _shingles(starts: Column, hashes: str, shingle: int) -> Column:
+    """Distinct hashes of the shingles that begin at starts (from 0)."""
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(shingle)))))
 
 
-def rarity(lines: DataFrame, shingle: int) -> Column:
-    """A constant array: for each cell the octave of its count over the median's, 0 to 31."""
-    cell = lines.select(F.explode(_hashes(F.col("words"), shingle)).alias("h")).groupBy(F.pmod("h", F.lit(CELLS)).cast("int").alias("cell")).count()
-    counts = {r["cell"]: r["count"] for r in cell.collect()}  # CELLS rows at most
-    middle = sorted(counts.values())[len(counts) // 2] if counts else 1
-    levels = [min(31, max(0, (2 * counts.get(c, 0) // max(1, middle)).bit_length() - 1)) for c in range(CELLS)]
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<long>")
+def _tokens(shingle: int) -> Column:
+    """All tokens, from the column hashes (of a line's words)."""
+    n = F.size("hashes") - (shingle - 1)
+    return F.when(n > 0, _shingles(F.sequence(F.lit(0), n - 1), "hashes", shingle)).otherwise(F.array(F.xxhash64("hashes")))
+
+
+def sampled(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: int, of: int) -> DataFrame:
+    """One row per line with words: id, digest, line_no, c1, c2 (its class), need (so many
+    tokens of the sample stand in any match), sample (of lines of at least shingle words;
+    other lines match equal ones only)."""
+    lines = docs.select(*_key(id_col, text_col), _split(text_or_empty(text_col)).alias("lines")).select("id", "digest", F.posexplode_outer("lines").alias("line_no", "line"))
+    lines = lines.where("trim(line) <> ''").select("id", "digest", "line_no", _words(F.col("line")).alias("words"))
+    lines = lines.select("id", "digest", "line_no", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    starts = F.slice("hashes", F.lit(1), F.col("most"))
+    lines = lines.withColumn("most", F.greatest(F.lit(0), F.size("hashes") - (shingle - 1)))
+    missed = F.floor(F.col("most") * (of - least) / of).cast("int")
+    lines = lines.withColumn("wanted", missed + F.floor(F.col("most") / MORE).cast("int") + 1)
+    low = F.greatest(F.lit(1), F.size(F.array_distinct("hashes")) - (shingle - 1))
+    lines = lines.withColumn("low", F.when(F.col("most") > 0, low))
+    every = F.sequence(F.lit(0), F.col("most") - 1)
+    first = _let(F.get(F.sort_array(starts), F.col("wanted") - 1), lambda limit: F.filter(every, lambda i: F.get("hashes", i) <= limit))
+    lines = lines.withColumn("sample", F.when(F.col("most") > 0, _shingles(first, "hashes", shingle)))
+    # shingles that repeat may leave too few; then all are taken
+    short = (F.col("most") > 0) & (F.size("sample") < F.col("wanted"))
+    sample = F.when(short, _shingles(every, "hashes", shingle)).otherwise(F.col("sample"))
+    need = F.floor(F.col("low") * least / of / MORE).cast("int") + 1
+    return lines.select("id", "digest", "line_no", "c1", "c2", need.alias("need"), sample.alias("sample"))
 
 
 def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: int = LEAST, of: int = OF) -> DataFrame:
-    """The lines to remove: doc_id (see _key), line_no, and the earlier line that each
-    matches (of_doc, of_line)."""
-    lines = _lines(docs, id_col, text_col).withColumn("words", _words("line")).where(F.size("words") > 0)
-    levels = rarity(lines, shingle)
-    text_key = F.unhex(F.md5(F.concat_ws(" ", "words").cast("binary"))).alias("class")
-    tokens = lines.select("doc_id", "line_no", text_key, _tokens(F.col("words"), shingle, levels).alias("tokens"))
-    n = F.size("tokens")
-    prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * least / of).cast("int") + 1)
-    first = tokens.select("class", F.struct("doc_id", "line_no").alias("at"), n.alias("n"), prefix.alias("prefix"))
-    first = stage(first.groupBy("class").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    entry = first.select(F.col("at.doc_id").alias("d"), F.col("at.line_no").alias("l"), "n", F.posexplode("prefix").alias("pos", "token"))
-
-    # stars: a token's earliest line, and the others
-    hub = entry.groupBy("token").agg(F.min(F.struct("d", "l", "n", "pos")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    entry = stage(entry.join(hub, "token"), "entries")
-    #: length and positional filters on the pair x (hub), y
-    open_pair = f"{of} * least(n, hub.n) >= {least} * greatest(n, hub.n) and {of + least} * (1 + least(n - pos - 1, hub.n - hub.pos - 1)) >= {least} * (n + hub.n)"
-    later = "(hub.d < d or (hub.d = d and hub.l < l))"
-    pair = ["hub.d as xd", "hub.l as xl", "d as yd", "l as yl"]
-    seen = lines.select("doc_id", "line_no", "words")
-    wanted = entry.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = seen.join(wanted, ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
-    texts = stage(texts.select("doc_id", "line_no", _tokens(F.col("words"), shingle, levels).alias("tokens")), "tokens")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x = texts.select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("tokens").alias("tx"))
-        y = texts.select(F.col("doc_id").alias("yd"), F.col("line_no").alias("yl"), F.col("tokens").alias("ty"))
-        both = F.size(F.array_intersect("tx", "ty"))
-        good = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"]).where(of * both >= least * (F.size("tx") + F.size("ty") - both))
-        return good.groupBy("yd", "yl").agg(F.min(F.struct("xd", "xl")).alias("x")).select("yd", "yl", "x.xd", "x.xl")
-
-    pairs = stage(entry.where(later).where(open_pair).selectExpr(*pair).distinct(), "pairs")
-    found = stage(verified(pairs), "matches")
-    entry = entry.select("token", "d", "l", "n", "pos")
-    used = hub.select("token", F.col("hub.d").alias("d"), F.col("hub.l").alias("l"))
-    used = stage(used.join(entry.select("token").distinct(), "token", "left_semi"), "hubs")
-    width = 1
+    """The lines to remove: id, digest (see _key), line_no, and the earlier line that
+    each matches: of_id, of_digest, of_line."""
+    own = Scratch(docs.sparkSession)
+    lines = own.keep(sampled(docs, id_col, text_col, shingle, least, of), "lines")
+    each = lines.select("c1", F.explode("sample").alias("token"))
+    shared = each.groupBy("token").agg(F.min("c1").alias("one"), F.max("c1").alias("other")).where("one <> other").select("token")
+    shared = own.keep(shared, "shared")
+    have = each.join(shared, "token", "left_semi").groupBy("c1").agg(F.count("*").alias("have"))
+    heads = lines.groupBy("c1", "c2").agg(F.min(F.struct("id", "digest", "line_no")).alias("at"), F.count("*").alias("n"), F.first("need").alias("need"))
+    heads = heads.join(have, "c1", "left").withColumn("open", F.coalesce(F.col("have") >= F.col("need") * F.col("n"), F.lit(False)))
+    heads = own.keep(heads.where("n > 1 or open").select("c1", "c2", "at", "n", "open"), "heads")
+    own.drop(shared)
+
+    sets = own.keep(_sets(docs, heads.where("open").select("at", "c1", "c2"), id_col, text_col, shingle), "sets")
+    rows = _entries(sets, least, of)
+    meet = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    rows = own.keep(rows.join(meet, "token"), "entries")
+    found = own.keep(_matches(own, rows, sets, least, of), "found")
+    own.drop(sets)
+
+    best = found.groupBy("at").agg(F.min("of").alias("of"))
+    heads = heads.select("c1", "c2", "at", "n").join(best, "at", "left").where("n > 1 or of is not null")
+    heads = heads.select("c1", "c2", "at", F.coalesce("of", "at").alias("of"), F.col("of").isNotNull().alias("all"))
+    gone = lines.select("c1", "c2", F.struct("id", "digest", "line_no").alias("line")).join(heads, ["c1", "c2"]).where("all or line <> at")
+    return gone.select("line.id", "line.digest", "line.line_no", F.col("of.id").alias("of_id"), F.col("of.digest").alias("of_digest"), F.col("of.line_no").alias("of_line"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """The wanted lines (at, c1, c2) with all their tokens."""
+    wanted = wanted.groupBy("at.id", "at.digest").agg(F.collect_list(F.struct("at.line_no", "c1", "c2")).alias("wanted"))
+    texts = docs.select(*_key(id_col, text_col), text_or_empty(text_col).alias("text")).join(wanted, ["id", "digest"])
+    lines = texts.select("id", "digest", "wanted", _split(F.col("text")).alias("lines"))
+    lines = lines.select("id", "digest", F.explode(F.transform("wanted", lambda x: F.struct(x["line_no"].alias("line_no"), x["c1"].alias("c1"), x["c2"].alias("c2"), F.get("lines", x["line_no"]).alias("line")))).alias("x"))
+    lines = lines.select(F.struct("id", "digest", "x.line_no").alias("at"), "x.c1", "x.c2", F.transform(_words(F.col("x.line")), lambda w: F.xxhash64(w)).alias("hashes"))
+    lines = lines.select("at", "c1", "c2", _tokens(shingle).alias("tokens"))
+    return lines.groupBy("c1", "c2").agg(F.first("at").alias("at"), F.first("tokens").alias("tokens"))  # equal rows are one
+
+
+def _entries(sets: DataFrame, least: int, of: int) -> DataFrame:
+    """Prefix tokens of the lines that can match any, by rarity: token, at, n, rest (so
+    many of the line's tokens that others have follow)."""
+    each = sets.select("c1", "c2", F.explode("tokens").alias("token"))
+    times = each.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = each.join(times, "token").groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("ranked"))
+    ranked = ranked.join(sets.select("c1", "c2", "at", F.size("tokens").alias("n")), ["c1", "c2"]).where(F.size("ranked") * of >= F.col("n") * least)
+    prefix = F.slice("ranked", F.lit(1), F.size("ranked") - F.ceil(F.col("n") * least / of).cast("int") + 1)
+    rows = ranked.select("at", "n", F.size("ranked").alias("m"), F.posexplode(prefix).alias("pos", "entry"))
+    return rows.select(F.col("entry.token").alias("token"), "at", "n", (F.col("m") - F.col("pos") - 1).alias("rest"))
+
+
+def _matches(own: Scratch, rows: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
+    """at, of: lines and an earlier line that each matches."""
+    length = of * F.least("n", "hub.n") >= least * F.greatest("n", "hub.n")
+    position = (of + least) * (1 + F.least("rest", "hub.rest")) >= least * (F.col("n") + F.col("hub.n"))
+    sets = sets.select("at", "tokens")
+    found, width = None, 1
+    rows, first = rows.withColumn("matched", F.lit(False)), rows
     while True:
-        # per group: lines not matched yet (u), lines that are no hub yet (m)
-        done = found.select(F.col("yd").alias("d"), F.col("yl").alias("l"), F.lit(True).alias("matched")).distinct()
-        state = entry.join(done, ["d", "l"], "left").join(used.withColumn("hub", F.lit(True)), ["token", "d", "l"], "left")
-        state = state.withColumn("left", F.col("matched").isNull() & F.col("hub").isNull()).withColumn("unmet", F.col("hub").isNull())
-        size = state.groupBy("token").agg(F.count_if("left").alias("u"), F.count_if("unmet").alias("m")).where("u > 0 and m > 1")
-        state = stage(state.where("unmet").join(size, "token").select("token", "d", "l", "n", "pos", "left", "u"), "open")
-        if state.isEmpty():
-            break
-        few, many = state.where(F.col("u") <= FEW), state.where(F.col("u") > FEW)
-        turn = F.row_number().over(Window.partitionBy("token").orderBy("d", "l"))
-        hubs = stage(many.withColumn("turn", turn).where(F.col("turn") <= width).select("token", F.struct("d", "l", "n", "pos").alias("hub")), "hubs")
-        met = few.select("token", F.struct("d", "l", "n", "pos").alias("hub")).union(hubs)
-        fresh = state.where("left").join(met, "token").where(later).where(open_pair).selectExpr(*pair).distinct().join(pairs, ["xd", "xl", "yd", "yl"], "left_anti")
-        fresh = stage(fresh, "pairs")
-        new = stage(verified(fresh), "matches")
-        pairs, found, width = pairs.union(fresh), found.union(new), 2 * width
-        used = used.union(hubs.select("token", "hub.d", "hub.l"))
-        entry = stage(many.select("token", "d", "l", "n", "pos"), "entries")
-
-    best = stage(found.groupBy("yd", "yl").agg(F.min(F.struct("xd", "xl")).alias("x")), "matches")
-    places = tokens.select("class", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    heads = places.groupBy("class").agg(F.min(F.struct("d", "l")).alias("at"), F.count("*").alias("n"))
-    heads = heads.join(best, (F.col("at.d") == best["yd"]) & (F.col("at.l") == best["yl"]), "left").where("n > 1 or x is not null")
-    heads = heads.select("class", "at", F.when(F.col("x").isNotNull(), F.struct(F.col("x.xd").alias("d"), F.col("x.xl").alias("l"))).otherwise(F.col("at")).alias("of"), F.col("x").isNotNull().alias("all"))
-    gone = places.join(heads, "class").where("all or not (d = at.d and l = at.l)")
-    return gone.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.col("of.d").alias("of_doc"), F.col("of.l").alias("of_line"))
+        turn = F.row_number().over(Window.partitionBy("token").orderBy("at"))
+        hubs = own.keep(rows.withColumn("turn", turn).where(F.col("turn") <= width).select("token", F.struct("at", "n", "rest").alias("hub")), "hubs")
+        pairs = rows.where("not matched").join(hubs, "token").where((F.col("hub.at") < F.col("at")) & length & position).select("at", F.col("hub.at").alias("of")).distinct()
+        x = sets.select(F.col("at").alias("of"), F.col("tokens").alias("others"))
+        both = F.size(F.array_intersect("tokens", "others"))
+        good = pairs.join(sets, "at").join(x, "of").where(of * both >= least * (F.size("tokens") + F.size("others") - both))
+        new = own.keep(good.groupBy("at").agg(F.min("of").alias("of")), "matches")
+        found = new if found is None else found.union(new)
+        # hubs have met all that follow them; groups with nothing unmatched left are done
+        last = hubs.groupBy("token").agg(F.max("hub.at").alias("last"))
+        after = rows.join(last, "token").where("at > last").drop("last").join(new.select("at", F.lit(True).alias("now")), "at", "left")
+        after = own.keep(after.withColumn("matched", F.col("matched") | F.col("now").isNotNull()).drop("now"), "entries")
+        own.drop(first, hubs)
+        waiting = after.where("not matched").select("token").distinct()
+        first, rows, width = after, after.join(waiting, "token", "left_semi"), width * WIDTH
+        if after.where("not matched").isEmpty():
+            return found
 
 
 def _copies(keyed: DataFrame) -> DataFrame:
-    """keyed (with _key) with _copy: whether an equal key stands in an earlier row."""
-    shared = stage(keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"), "copies")
+    """keyed (with id, digest) with copy: whether an equal key stands in an earlier row."""
+    own = Scratch(keyed.sparkSession)
+    shared = own.keep(keyed.groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("id", "digest"), "copies")
     if shared.isEmpty():
-        return keyed.withColumn("_copy", F.lit(False))
-    rows = stage(keyed.join(shared, "_key", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "copies")
-    first = rows.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row", F.lit(False).alias("_copy"))
-    rows = rows.join(first, "_row", "left").withColumn("_copy", F.coalesce("_copy", F.lit(True))).drop("_row")
-    return keyed.join(shared, "_key", "left_anti").withColumn("_copy", F.lit(False)).unionByName(rows)
+        return keyed.withColumn("copy", F.lit(False))
+    rows = own.keep(keyed.join(shared, ["id", "digest"], "left_semi").withColumn("nr", F.monotonically_increasing_id()), "copies")
+    first = rows.groupBy("id", "digest").agg(F.min("nr").alias("nr")).select("nr", F.lit(False).alias("copy"))
+    rows = rows.join(first, "nr", "left").withColumn("copy", F.coalesce("copy", F.lit(True))).drop("nr")
+    return keyed.join(shared, ["id", "digest"], "left_anti").withColumn("copy", F.lit(False)).unionByName(rows)
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
     """docs with the matched lines taken out of text; n_lines and n_removed are added."""
     gone = matched_lines(docs, id_col=id_col, text_col=text_col, **parameters)
-    gone = gone.groupBy(F.col("doc_id").alias("_key")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
-    both = _copies(docs.withColumn("_key", _key(id_col, text_col))).join(gone, "_key", "left")
-    lines = F.split(text_or_empty(text_col), "\n")
-    worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike("[^\\x20\\x09-\\x0D]"))
-    both = both.withColumn("_gone", F.when(F.col("_copy"), F.when(F.size(worded) > 0, worded)).otherwise(F.col("_gone")))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    gone = gone.groupBy("id", "digest").agg(F.collect_set("line_no").alias("gone"))
+    both = _copies(docs.select(F.struct(*docs.columns).alias("row"), *_key(id_col, text_col))).join(gone, ["id", "digest"], "left")
+    both = both.withColumn("lines", F.split(text_or_empty(F.col("row")[text_col]), "\n"))
+    worded = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike("[^\\x20\\x09-\\x0D]"))
+    both = both.withColumn("gone", F.when(F.col("copy"), F.when(F.size(worded) > 0, worded)).otherwise(F.col("gone")))
+    left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNotNull(), left).otherwise(F.col("row")[text_col])
     return both.select(
-        *(F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.greatest(F.lit(0), F.size("_gone")).cast("long").alias("n_removed"),
+        *((text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.greatest(F.lit(0), F.size("gone")).cast("long").alias("n_removed"),
     )
 
 

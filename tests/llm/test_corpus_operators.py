@@ -105,9 +105,9 @@ def test_components(spark):
     assert dict(more.collect()) == {**{k: 0 for k in [*range(61), 100, 150, 200]}, 900: 900, 901: 900}
 
 
-@pytest.mark.parametrize("few", [48, 2])
-def test_line_dedup(docs, rows, few, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FEW", few)
+@pytest.mark.parametrize("width", [8, 2])
+def test_line_dedup(docs, rows, width, monkeypatch):
+    monkeypatch.setattr(line_dedup, "WIDTH", width)
     places = sorted({(1 << 63 if d is None else d, i, line) for d, t in rows for i, line in enumerate((t or "").split("\n"))})
     gone, earlier = set(), []
     for d, i, line in places:
