@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm._common import Scratch, text_or_empty
+from quarry.llm._rare import may_match, rare_prefixes
 
 SHINGLE, LEAST, OF, WIDTH = 5, 80, 100, 8
 #: Of MORE tokens one is sampled beyond the share that may be missed.
@@ -112,7 +113,7 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     own.drop(shared)
 
     sets = own.keep(_sets(docs, heads.where("open").select("at", "c1", "c2"), id_col, text_col, shingle), "sets")
-    rows = _entries(sets, least, of)
+    rows = rare_prefixes(sets, ["c1", "c2"], ["at"], least, of).select("token", "at", "n", "rest")
     meet = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     rows = own.keep(rows.join(meet, "token"), "entries")
     found = own.keep(_matches(own, rows, sets, least, of), "found")
@@ -136,29 +137,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
     return lines.groupBy("c1", "c2").agg(F.first("at").alias("at"), F.first("tokens").alias("tokens"))  # equal rows are one
 
 
-def _entries(sets: DataFrame, least: int, of: int) -> DataFrame:
-    """Prefix tokens of the lines that can match any, by rarity: token, at, n, rest (so
-    many of the line's tokens that others have follow)."""
-    each = sets.select("c1", "c2", F.explode("tokens").alias("token"))
-    times = each.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
-    ranked = each.join(times, "token").groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("ranked"))
-    ranked = ranked.join(sets.select("c1", "c2", "at", F.size("tokens").alias("n")), ["c1", "c2"]).where(F.size("ranked") * of >= F.col("n") * least)
-    prefix = F.slice("ranked", F.lit(1), F.size("ranked") - F.ceil(F.col("n") * least / of).cast("int") + 1)
-    rows = ranked.select("at", "n", F.size("ranked").alias("m"), F.posexplode(prefix).alias("pos", "entry"))
-    return rows.select(F.col("entry.token").alias("token"), "at", "n", (F.col("m") - F.col("pos") - 1).alias("rest"))
-
-
 def _matches(own: Scratch, rows: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
     """at, of: lines and an earlier line that each matches."""
-    length = of * F.least("n", "hub.n") >= least * F.greatest("n", "hub.n")
-    position = (of + least) * (1 + F.least("rest", "hub.rest")) >= least * (F.col("n") + F.col("hub.n"))
+    fits = may_match(least, of)
     sets = sets.select("at", "tokens")
     found, width = None, 1
     rows, first = rows.withColumn("matched", F.lit(False)), rows
     while True:
         turn = F.row_number().over(Window.partitionBy("token").orderBy("at"))
         hubs = own.keep(rows.withColumn("turn", turn).where(F.col("turn") <= width).select("token", F.struct("at", "n", "rest").alias("hub")), "hubs")
-        pairs = rows.where("not matched").join(hubs, "token").where((F.col("hub.at") < F.col("at")) & length & position).select("at", F.col("hub.at").alias("of")).distinct()
+        pairs = rows.where("not matched").join(hubs, "token").where((F.col("hub.at") < F.col("at")) & fits).select("at", F.col("hub.at").alias("of")).distinct()
         x = sets.select(F.col("at").alias("of"), F.col("tokens").alias("others"))
         both = F.size(F.array_intersect("tokens", "others"))
         good = pairs.join(sets, "at").join(x, "of").where(of * both >= least * (F.size("tokens") + F.size("others") - both))

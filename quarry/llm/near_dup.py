@@ -8,12 +8,13 @@ Rows of ROWS bins form BANDS bucket keys.
 
 Equal sets are one class from the start. Within a bucket, candidate edges are
 a star: all members against the one that shares most buckets with others, so
-their number is linear in the members. A candidate is confirmed on the full sets. Confirmed links join
-classes into components; a bucket that is within one component is finished,
-and one that is not gets further stars (twice as many each time), or, once no
-more than PAIRS_BELOW members are outside its largest component, the pairs of
-those with all others. So no pair that shares a
-bucket and could join two components stays untested, and no cap drops one.
+their number is linear in the members. A candidate is confirmed on the full sets,
+and confirmed links join classes into components. A bucket within one component is
+finished. The members of all others are the rest, between whose components a star may
+have left links: these are found exactly, by a set-similarity join of the rest on
+prefixes of their full sets in the order of rarity (quarry.llm._rare), again by stars:
+a group's members outside its largest component are hubs in turn, WIDTH times as many in each
+round, until those that were no hub are one component. No cap drops a pair.
 
 At Jaccard 0.8 a pair shares no bucket with a chance of 6e-5 (ROWS 6, BANDS 32).
 
@@ -33,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import stage, text_batches, text_or_empty
+from quarry.llm._common import Scratch, text_batches, text_or_empty
 from quarry.llm._graph import components, joined_components
+from quarry.llm._rare import may_match, rare_prefixes
 from quarry.llm._words import Rolling, bounds, joined, mix
 from quarry.llm.exact_dedup import RunTree
 
-ROWS, BANDS, PAIRS_BELOW = 6, 32, 48
+ROWS, BANDS, WIDTH = 6, 32, 8
 NUMERATOR, DENOMINATOR = 80, 100
 
 _U = np.uint64
@@ -144,53 +146,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: int, of: int) -> DataFra
     return two.where(of * both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
+def _link_rest(scratch: Scratch, rest: DataFrame, sets: DataFrame, named: DataFrame, least: int, of: int) -> DataFrame:
+    """named (node, component) after all links between the nodes of rest."""
+    full = sets.join(rest.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.first("hashes").alias("tokens"))
+    full = scratch.keep(full, "rest_sets")
+    rows = scratch.keep(rare_prefixes(full, ["node"], [], least, of), "entries")
+    scratch.drop(full)
+    width = 1
+    while True:
+        state = rows.join(named, "node", "left").select("token", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
+        parts = state.groupBy("token", "component").agg(F.count("*").alias("m"))
+        split = parts.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("base"), F.count("*").alias("parts")).where("parts > 1").select("token", "base")
+        state = scratch.keep(state.join(split, "token"), "open")
+        scratch.drop(rows)
+        if state.isEmpty():
+            scratch.drop(state)
+            return named
+        turn = F.row_number().over(Window.partitionBy("token").orderBy("node"))
+        hubs = state.where("component <> base").withColumn("turn", turn).where(F.col("turn") <= width)
+        hubs = scratch.keep(hubs.select("token", F.struct("node", "component", "n", "rest").alias("hub")), "hubs")
+        pairs = state.join(hubs, "token").where((F.col("hub.component") != F.col("component")) & may_match(least, of))
+        pairs = pairs.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+        links = scratch.keep(confirmed(pairs, sets, least, of), "links")
+        named = named if links.isEmpty() else joined_components(named, links)
+        met = hubs.select("token", "hub.node")
+        rows = scratch.keep(state.join(met, ["token", "node"], "left_anti").select("token", "node", "n", "rest"), "entries")
+        scratch.drop(state, hubs, links)
+        width *= WIDTH
+
+
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: int = NUMERATOR, of: int = DENOMINATOR, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    signed = stage(signatures(own, shingle, rows, bands), "signatures")
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep(signatures(own, shingle, rows, bands), "signatures")
     tree = RunTree(signed.where("digest is not null").select("digest", "doc_id", "n_shingles", "keys"), ["digest"], more={"size": F.first("n_shingles"), "keys": F.first("keys")})
-    classes = stage(tree.top, "classes")
+    classes = scratch.keep(tree.top, "classes")
     member = classes.where("best is not null").select(F.explode("keys").alias("bucket"), F.col("best").alias("node"), "size")
     many = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    member = stage(member.join(many, "bucket"), "shared")
+    shared = scratch.keep(member.join(many, "bucket"), "shared")
     # the hub of a bucket is the member that shares most with others: of a text and its edited copies, the text
-    weight = member.groupBy("node").agg(F.sum("m").alias("weight"))
-    member = member.join(weight, "node")
+    weight = shared.groupBy("node").agg(F.sum("m").alias("weight"))
+    member = shared.join(weight, "node")
     star = member.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "size")).alias("hub"))
-    member = member.join(star, "bucket").select("bucket", "node", "size", (-F.col("hub.minus")).alias("hub"), F.col("hub.size").alias("hub_size"))
-    member = stage(member, "members")
-    sets = stage(sets_of(own.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "sets")
+    member = scratch.keep(member.join(star, "bucket").select("bucket", "node", "size", (-F.col("hub.minus")).alias("hub"), F.col("hub.size").alias("hub_size")), "members")
+    scratch.drop(shared)
+    sets = scratch.keep(sets_of(own.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "sets")
 
     fits = f"{of} * least(size, hub_size) >= {least} * greatest(size, hub_size)"
     tested = member.where("node <> hub").where(fits).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    tested = stage(tested, "pairs")
-    links = stage(confirmed(tested, sets, least, of), "links")
-    member = member.select("bucket", "node", "size", "hub")
-    done = member.where("node = hub").select("bucket", "node")  # hubs that met all of their bucket
-    member = member.drop("hub")
-    named, width = components(links), 1
-    while True:
-        state = member.join(named, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
-        parts = state.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        split = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("base"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-        state = stage(state.join(split, "bucket"), "open")
-        if state.isEmpty():
-            break
-        few, many = state.where(F.col("outside") <= PAIRS_BELOW), state.where(F.col("outside") > PAIRS_BELOW)
-        other = lambda d: d.select("bucket", F.col("node").alias("a"), F.col("size").alias("hub_size"), F.col("component").alias("ca"))
-        pair = (F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        pairs = few.join(other(few.where("component <> base")), "bucket").where("ca <> component").where(fits).select(*pair)
-        waiting = many.join(done, ["bucket", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        hubs = stage(other(waiting.withColumn("turn", turn).where(F.col("turn") <= width).drop("turn")), "hubs")
-        stars = many.join(hubs, "bucket").where("ca <> component").where(fits).select(*pair)
-        fresh = stage(pairs.union(stars).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stage(confirmed(fresh, sets, least, of), "links")
-        tested, done, width = tested.union(fresh), done.union(hubs.select("bucket", F.col("a").alias("node"))), 2 * width
-        # with one member or none that was no hub yet, all pairs of a bucket are tested
-        met = many.join(done, ["bucket", "node"], "left_anti").groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        member = stage(many.join(met.select("bucket"), "bucket", "left_semi").select("bucket", "node", "size"), "members")
-        named = joined_components(named, found)
+    links = scratch.keep(confirmed(tested, sets, least, of), "links")
+    named = components(links)
+    state = member.join(named, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    split = state.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
+    rest = scratch.keep(state.join(split, "bucket", "left_semi").select("node").distinct(), "rest")
+    named = _link_rest(scratch, rest, sets, named, least, of)
+    scratch.drop(member, links, rest, sets)
 
     best = classes.join(named, classes["best"] == named["node"], "left").select("digest", F.coalesce("component", "best").alias("component_id"))
     linked = tree.down(best, "component_id").select("doc_id", "n_shingles", "component_id")

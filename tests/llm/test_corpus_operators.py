@@ -55,9 +55,9 @@ def docs(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, size int").repartition(4)
 
 
-@pytest.mark.parametrize(("shingle", "below"), [(2, 48), (5, 3)])
-def test_near_groups(docs, rows, shingle, below, monkeypatch):
-    monkeypatch.setattr(near_dup, "PAIRS_BELOW", below)  # 3: stars of several rounds
+@pytest.mark.parametrize(("shingle", "width"), [(2, 8), (5, 2)])
+def test_near_groups(docs, rows, shingle, width, monkeypatch):
+    monkeypatch.setattr(near_dup, "WIDTH", width)  # 2: stars of several rounds
     known = [r for r in rows if r[0] is not None]
     sets = [(d, shingles(words(t), shingle)) for d, t in known]
     up = {d: d for d, _ in known}
