@@ -18,9 +18,11 @@ are first brought together:
    Neighbours that share LENGTH bytes form intervals, and an interval with two
    different places of the corpus marks all its places.
 
-Nulls: a null text is an empty one; null ids are kept apart by their texts.
-Rows that repeat both id and text are different places, so their long strings
-repeat. Texts shorter than LENGTH keep all bytes. Empty tables give no rows.
+Nulls: a null text is an empty one. A row is known by two 64-bit hashes of its id
+and whole text, so rows that share an id, or have none, are apart. Rows that repeat
+both are different places, so their long strings repeat. Texts shorter than
+LENGTH keep all bytes; very long ones are taken in parts. Empty tables give no rows.
+Further columns travel in one struct, so none of their names clashes.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.llm._common import partitions, stage, text_or_empty
 from quarry.llm._words import Rolling, joined
@@ -84,7 +87,7 @@ def _pieces(text: bytes, most: int) -> Iterator[tuple[int, bytes]]:
         yield at, text[at : at + most]
 
 
-ANCHORS = "anchor long, span long, n int, doc_id long, tag int, lo int, len int, more array<struct<doc_id:long,tag:int,lo:int>>"
+ANCHORS = "anchor long, span long, n int, doc_id long, tag long, lo int, len int, more array<struct<doc_id:long,tag:long,lo:int>>"
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def anchors(docs: DataFrame) -> DataFrame:
         def take() -> None:
             doc, lo, length, h, s = spans(some)
             info = np.array(meta, np.int64).reshape(-1, 3)
-            held.append((info[doc, 0], info[doc, 1].astype(np.int32), lo + info[doc, 2], length, h, s))
+            held.append((info[doc, 0], info[doc, 1], lo + info[doc, 2], length, h, s))
 
         for batch in batches:
             names = batch.schema.get_field_index
@@ -267,7 +270,7 @@ def repeated(texts: list[bytes], places: np.ndarray, length: int = LENGTH) -> li
     return out
 
 
-RANGES = "doc_id long, tag int, lo int, hi int"
+RANGES = "doc_id long, tag long, lo int, hi int"
 
 
 def index_blocks(entries: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -286,7 +289,7 @@ def index_blocks(entries: DataFrame, block: int = BLOCK) -> DataFrame:
                 if not r[1]:
                     out += [(r[2], r[3], r[4] + a, r[4] + b) for a, b in found]
             cols = [list(c) for c in zip(*out)] or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:])], ["doc_id", "tag", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:2]), *(pa.array(c, pa.int32()) for c in cols[2:])], ["doc_id", "tag", "lo", "hi"])
 
         rows, held, last = [], 0, None
         for batch in batches:
@@ -319,10 +322,10 @@ def _bodies(rows: DataFrame) -> DataFrame:
                     raw = text.encode()
                     out += [(w["anchor"], w["counted"], d, t, w["lo"], raw[w["lo"] : w["lo"] + w["len"]]) for w in wanted]
                 cols = [list(c) for c in zip(*out)]
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "counted", "doc_id", "tag", "lo", "body"])
 
-    return rows.mapInArrow(run, "anchor long, counted boolean, doc_id long, tag int, lo int, body binary")
+    return rows.mapInArrow(run, "anchor long, counted boolean, doc_id long, tag long, lo int, body binary")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -358,18 +361,19 @@ def _cut(raw: bytes, ranges: list[dict]) -> tuple[list[bytes], int, int]:
     return keep, int((ends - starts).sum()), len(starts)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    text = text_or_empty(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"), *keep)
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    text, own = text_or_empty(text_col), F.col(id_col).cast("long")
+    keys = F.xxhash64(own, text).alias("doc_id"), F.xxhash64(F.lit(1), text, own).alias("tag")
+    return docs.select(*keys, text.alias("text"), own.alias("id"), *more)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary:
-    the bytes that are left), and the columns named in keep."""
-    keep = keep or []
-    keyed = _keyed(docs, id_col, text_col, keep)
-    ranges = repeated_ranges(keyed.select("doc_id", "tag", "text") if keep else keyed)
-    rows = keyed.join(ranges, ["doc_id", "tag"], "left").select("doc_id", "text", "ranges", *keep)
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary: the
+    bytes that are left), and, if keep names columns, row (a struct of them)."""
+    row = [F.struct(*keep).alias("row")] if keep else []
+    keyed = _keyed(docs, id_col, text_col, *row)
+    ranges = repeated_ranges(keyed.select("doc_id", "tag", "text"))
+    rows = keyed.join(ranges, ["doc_id", "tag"], "left").drop("doc_id", "tag")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -379,17 +383,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out = []
-                for d, text, ranges in zip(*(part.column(names(n)).to_pylist() for n in ("doc_id", "text", "ranges"))):
+                for d, text, ranges in zip(*(part.column(names(n)).to_pylist() for n in ("id", "text", "ranges"))):
                     raw = text.encode()
                     left, gone, runs = _cut(raw, ranges) if ranges else ([raw], 0, 0)
-                    out.append((None if d == -(1 << 63) else d, len(raw), gone, runs, b"".join(left)))
+                    out.append((d, len(raw), gone, runs, b"".join(left)))
                 cols = list(zip(*out))
                 kinds = [*[pa.int64()] * 4, pa.binary()]
-                more = [part.column(names(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), *more], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep])
+                more = [part.column(names(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), *more], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(f.name for f in kept)])
 
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + more)
+    kept = [f for f in rows.schema.fields if f.name == "row"]
+    out = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(run, StructType([*out.fields, *kept]))
 
 
 def report(docs: DataFrame) -> DataFrame:

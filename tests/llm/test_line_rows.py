@@ -6,7 +6,7 @@ import hashlib
 import re
 from collections import Counter
 
-from quarry.llm import line_dedup
+from quarry.llm import line_dedup, substring_dedup
 
 A, B, C = "first line of words", "second line that nobody else has", "a third line here"
 ROWS = [
@@ -55,3 +55,38 @@ def test_pipeline_keeps_clean_null_ids(spark):
 
     docs = spark.createDataFrame(ROWS[:3], "doc_id long, text string")
     assert {(r.doc_id, r.text) for r in fresh_lines(spark, docs, "").collect()} == {(1, "dup line"), (None, "unique line")}
+
+
+def test_clashing_columns(spark):
+    """Columns named like those that the operators add or use inside."""
+    long = " ".join(f"w{k}" for k in range(120))
+    names = "tag ranges kept n_bytes n_removed n_spans n_lines _key row id digest gone copy lines".split()
+    rows = [(1, long, *names), (2, f"x\n{long}", *names), (None, "other", *names), (None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    left = line_dedup.dedup(docs)
+    assert len(set(left.columns)) == len(left.columns) == len(docs.columns)
+    assert {(r.doc_id, r.text, r.n_removed, r.tag, r.digest) for r in left.collect()} == {(1, long, 0, "tag", "digest"), (2, "x", 1, "tag", "digest"), (None, "other", 0, "tag", "digest"), (None, None, 0, "tag", "digest")}
+    cut = substring_dedup.remove_repeats(docs, keep=docs.columns).collect()
+    assert {(r.doc_id, r.n_removed > 0, r.row.tag, r.row.n_removed) for r in cut} == {(1, True, "tag", "n_removed"), (2, True, "tag", "n_removed"), (None, False, "tag", "n_removed")}
+    from corpus_pipeline import fresh_lines, fresh_strings
+
+    for stage in (fresh_lines, fresh_strings):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {r.n_lines for r in out.collect()} == {"n_lines"}
+
+
+def test_substring_rows_without_id(spark):
+    """Rows without an id, or with one id, are cut by their own repeats only."""
+    one, two = ("".join(chr(97 + (k * k * s) % 23) for k in range(450)) for s in (3, 7))
+    texts = [(None, one), (None, two + one[:250]), (None, two[::-1]), (5, two[::-1][:100]), (5, "q" * 30 + one[100:400])]
+    raw = [t.encode() for _, t in texts]
+    want = []
+    for k, t in enumerate(raw):
+        gone = [False] * len(t)
+        for i in range(len(t) - 199):
+            w = t[i : i + 200]
+            if sum(o[j : j + 200] == w for o in raw for j in range(len(o) - 199)) > 1:
+                gone[i : i + 200] = [True] * 200
+        want.append((texts[k][0], len(t), sum(gone), hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
+    got = substring_dedup.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == Counter(want)
