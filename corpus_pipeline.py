@@ -1,7 +1,12 @@
 """The corpus pipeline: five stages over documents, each written and read again.
 
 quality classifier -> line dedup -> near-dedup -> substring dedup -> packing.
-Every stage but the last returns the columns of documents.
+Every stage but the last returns the columns of documents; further columns of any
+name travel along (an input column n_chars is set anew with the text). A null text
+counts as empty, and an empty one has no quality to reject by rule: its score decides.
+Rows without an id stay apart by their texts and are in no near-duplicate group. Of
+equal rows, and of ties, the first by id and then by digest keeps its lines. An empty
+table gives empty stages.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier one go; a document that had words and keeps none goes too."""
-    left = line_dedup.dedup(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return _retext(left.select(*docs.columns), F.col("text"))
+    left = line_dedup.dedup(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return _retext(left.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns)), F.col("text"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +47,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def fresh_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a 200-byte string that starts elsewhere too go; what a
     cut leaves of a character goes with them. Texts that go whole go as documents."""
-    cut = substring_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    cut = cut.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8("text"), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
-    return _retext(cut, text).select(*docs.columns)
+    cut = substring_dedup.remove_repeats(docs, keep=docs.columns)
+    cut = cut.where("n_removed = 0 or n_removed < n_bytes")
+    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    text = F.when(F.col("n_removed") > 0, whole).otherwise(F.col("row")["text"])
+    return _retext(cut.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns)), F.col("text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,23 +223,16 @@ def resolve_edges_rules(v: Views) -> DataFrame:
 
 
 @query("""
-, c as (select id as call_id, id as source_id, string_split(name, '.')[2] as callee, name as target, id % 4 = 0 as generic from symbols where id % 25 = 0),
-f as (select distinct call_id, source_id, generic, s.id as target_id from c join symbols s on (s.name in (callee, target) or string_split(s.name, '.')[2] in (callee, target)) and s.id <> source_id)
-select call_id, source_id, target_id, round(case when generic then 0.35 else 1.0 end / count(*) over (partition by call_id), 6) as confidence, case when count(*) over (partition by call_id) = 1 then target_id end as resolved_id from f""")
+, c as (select id as call_id, string_split(name, '.')[2] as callee, name as target, id % 4 = 0 as generic from symbols),
+k as (select call_id, generic, callee as part from c union select call_id, generic, target from c),
+o as (select id as target_id, name as part from symbols union select id, string_split(name, '.')[2] from symbols),
+f as (select distinct call_id, generic, target_id from k join o using (part) where call_id <> target_id)
+select call_id, call_id as source_id, target_id, round(case when generic then 0.35 else 1.0 end / count(*) over (partition by call_id), 6) as confidence, case when count(*) over (partition by call_id) = 1 then target_id end as resolved_id from f""")
 def callsite_candidates(v: Views) -> DataFrame:
-    return _candidates(v, v.symbols().where("id % 25 = 0"))
-
-
-def _candidates(v: Views, callers: DataFrame) -> DataFrame:
-    calls = callers.select(F.col("id").alias("call_id"), F.col("id").alias("source_id"), F.element_at(F.split("name", "\\."), 2).alias("callee"), F.col("name").alias("target"), (F.col("id") % 4 == 0).alias("generic"))
+    calls = v.symbols().select(F.col("id").alias("call_id"), F.col("id").alias("source_id"), F.element_at(F.split("name", "\\."), 2).alias("callee"), F.col("name").alias("target"), (F.col("id") % 4 == 0).alias("generic"))
     return index.callsite_edges(calls, v.symbols()).select("call_id", "source_id", "target_id", _r("confidence"), "resolved_id")
 
 
-@query()
-def callsite_candidates_all(v: Views) -> DataFrame:
-    return _candidates(v, v.symbols())
-
-
 @query("""
 , inb as (select t.file, count(*) as n from resolved e join symbols s on s.id = e.source_id join symbols t on t.id = e.target_id where s.file <> t.file group by t.file)
 select f.file, round(least(1.0, coalesce(n, 0) / greatest(1, (select count(*) from symbols) - 1)), 6) as centrality from (select distinct file from symbols) f left join inb using (file)""")
@@ -315,13 +308,8 @@ def neighbors_best(v: Views) -> DataFrame:
     return graph.neighbours(graph.build(v.resolved()), _one(v).select(F.col("source").alias("node")))
 
 
-@query(_reach("source_id", "target_id", 3) + " select id, depth from near where id % 100 = 77")
+@query(_reach("source_id", "target_id", 64) + f" select id, depth from near where id <> {TARGET}")
 def shortest_path_len(v: Views) -> DataFrame:
-    return graph.bfs(graph.build(v.resolved()), _one(v), 3).where("id % 100 = 77").select("id", "depth")
-
-
-@query()
-def shortest_path_all(v: Views) -> DataFrame:
     return graph.reached(graph.build(v.resolved()), _one(v)).select("id", "depth")
 
 

@@ -19,7 +19,7 @@ def test_all_callsites(spark):
         found = [j for j, m in symbols if j != i and asked & {m, last[j]}]
         for j in found:
             want[i, j] = (round((0.35 if i % 4 == 0 else 1.0) / len(found), 6), j if len(found) == 1 else None)
-    got = registry.QUERIES["callsite_candidates_all"](spark, DIR).collect()
+    got = registry.QUERIES["callsite_candidates"](spark, DIR).collect()
     assert len(got) == len(want)
     assert {(r.call_id, r.target_id): (r.confidence, r.resolved_id) for r in got} == want
     assert any(r.call_id % 25 for r in got)
@@ -47,7 +47,7 @@ def test_all_path_lengths(spark):
         level = {b for a in level for b in out.get(a, ())} - want.keys()
         want |= dict.fromkeys(level, depth)
     del want[registry.TARGET]
-    got = registry.QUERIES["shortest_path_all"](spark, DIR).collect()
+    got = registry.QUERIES["shortest_path_len"](spark, DIR).collect()
     assert len(got) == len(want) and {r.id: r.depth for r in got} == want
 
 
