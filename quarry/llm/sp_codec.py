@@ -4,11 +4,14 @@ A text is normalised through the model's compiled character map: at each
 place the longest source prefix that the map's trie holds is replaced, and the
 source byte of every normalised byte is recorded. The normalised text is cut
 before each run of blank marks (no piece of such a model crosses a cut), every
-segment is split into pieces once and memoised, and the pieces' ends are
-projected through the alignment back to byte spans of the original text.
+segment is split into pieces once, by merges of the best-ranked neighbours, and
+memoised, and the pieces' ends are projected through the alignment back to byte
+spans of the original text. An empty map is the identity, in one step.
 
 Nulls: a null text is an empty one, which has only the end id. A null id stays
-null, repeated rows are encoded each, an empty table gives no rows.
+null, repeated rows are encoded each, an empty table gives no rows. Very long texts
+are normalised whole, in linear time; of the input only the id and the text are
+read, so no further column can clash.
 """
 
 from __future__ import annotations
@@ -54,8 +57,10 @@ class CharMap:
                 best = (k + 1 - at, self.pool[value : self.pool.index(b"\0", value)])
         return best
 
-    def apply(self, text: bytes) -> tuple[bytes, list[int]]:
+    def apply(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and the source offset of each (and of the end)."""
+        if not self.units:  # no prefix of any text is in an empty trie
+            return text, np.arange(len(text) + 1)
         out, source, at = bytearray(), [], 0
         while at < len(text):
             n, new = self.longest(text, at)
@@ -68,7 +73,7 @@ class CharMap:
                 source += [at] * len(new)
             out += new
             at += n
-        return bytes(out), [*source, at]
+        return bytes(out), np.array([*source, at])
 
 
 class Codec:
@@ -86,11 +91,10 @@ class Codec:
             raise ValueError("a BPE model with blank marks in front of words is asked for")
         if any(MARK in p.piece.lstrip(MARK) for p in proto.pieces):
             raise ValueError("a piece of this model crosses words")
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.map, self.dummy, self.squeeze = CharMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces
-        self.plain = not self.map.units and self.dummy and not self.squeeze
         self.rank = {p.piece: (-p.score, k) for k, p in enumerate(proto.pieces) if p.type in (1, 4)}
-        self.unknown, self.end = self.library.unk_id(), self.library.eos_id()
+        self.unknown, self.end = library.unk_id(), library.eos_id()
         self.byte_ids = {int(p.piece[3:5], 16): k for k, p in enumerate(proto.pieces) if p.type == 6}
         self.byte_of = {k: b for b, k in self.byte_ids.items()}
         self.surface = [p.piece.replace(MARK, " ").encode() for p in proto.pieces]
@@ -139,13 +143,7 @@ class Codec:
         if not self.store.slots:
             self._fresh()
         text = [s.decode() for s in segments]
-        if self.plain:  # the library adds the first mark itself
-            ids = self.library.encode([t[1:] for t in text], num_threads=1)
-            for k, t in enumerate(text):
-                if not t[1:]:
-                    ids[k] = self.merge(MARK)
-        else:
-            ids = [self.merge(t.replace(" ", MARK)) for t in text]
+        ids = [self.merge(t.replace(" ", MARK)) for t in text]
         self.shown += [" ".join(map(str, x)) for x in ids]
         self.decoded += [self._surface(x) for x in ids]
         return np.array([k for x in ids for k in x], np.int64), np.array([len(x) for x in ids], np.int64)
@@ -155,36 +153,29 @@ class Codec:
         return raw.decode("utf-8", "replace")
 
     # -- texts ----------------------------------------------------------------
-    def normalise(self, text: str) -> tuple[bytes, list[int]]:
+    def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes with blanks for marks, and their source offsets."""
-        if not text:
-            return b"", [0]
-        raw, source = (text.encode(), None) if self.plain else self.map.apply(text.encode())
-        source = source or list(range(len(raw) + 1))
+        raw, source = self.map.apply(text.encode())
         if MARK.encode() in raw:  # a mark in the text is a blank to the model
             parts, kept, at = raw.split(MARK.encode()), [], 0
             for p in parts:
-                kept += source[at : at + len(p) + 1]
+                kept.append(source[at : at + len(p) + 1])
                 at += len(p) + 3
-            raw, source = b" ".join(parts), [*kept[:-1], source[-1]]
+            kept[-1] = source[len(source) - len(parts[-1]) - 1 :]
+            raw, source = b" ".join(parts), np.concatenate(kept)
         if self.squeeze:
-            keep = [k for k in range(len(raw)) if raw[k] != 32 or (k + 1 < len(raw) and raw[k + 1] != 32 and any(b != 32 for b in raw[:k]))]
-            raw, source = bytes(raw[k] for k in keep), [*(source[k] for k in keep), source[-1]]
+            word = np.frombuffer(raw, np.uint8) != 32
+            keep = np.flatnonzero(word | (np.append(False, word[:-1]) & np.logical_or.accumulate(word[::-1])[::-1]))
+            raw, source = np.frombuffer(raw, np.uint8)[keep].tobytes(), source[np.append(keep, keep[-1] + 1 if len(keep) else 0)]
         if self.dummy and raw:
-            raw, source = b" " + raw, [source[0], *source]
+            raw, source = b" " + raw, np.concatenate([source[:1], source])
         return raw, source
 
     def encode_batch(self, texts: list[str]) -> list[tuple]:
         """For each text: ids (without an end id), span starts, span ends (bytes
         of the original), the ids in decimal, the decoded text."""
-        if self.plain:
-            clean = [t.encode() for t in texts]
-            odd = {k: self.normalise(t) for k, t in enumerate(texts) if MARK in t}
-            norm = [odd[k][0] if k in odd else b" " + c if c else b"" for k, c in enumerate(clean)]
-        else:
-            odd = dict(enumerate(map(self.normalise, texts)))
-            norm = [x[0] for x in odd.values()]
-        raw, at = joined(norm, b"")
+        norm, sources = zip(*map(self.normalise, texts)) if texts else ((), ())
+        raw, at = joined(list(norm), b"")
         blank = raw == 32
         cut = blank.copy()
         cut[1:] &= ~blank[:-1]
@@ -205,13 +196,8 @@ class Codec:
             shown = " ".join([self.shown[i] for i in mine])
             back = "".join([self.decoded[i] for i in mine])
             stop = ends[a:b] - at[k]
-            if k in odd:
-                source = np.array(odd[k][1])
-                s = source[np.concatenate([[0], stop[:-1]])] if b > a else stop
-                stop = source[stop] if b > a else stop
-            else:  # the first byte is the mark that was added
-                s = np.maximum(np.concatenate([[0], stop[:-1]]) - 1, 0) if b > a else stop
-                stop = stop - 1
+            s = sources[k][np.concatenate([[0], stop[:-1]])] if b > a else stop
+            stop = sources[k][stop]
             out.append((ids[a:b], s, stop, shown, back[1:] if self.dummy and back[:1] == " " else back))
         return out
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import sentencepiece
 
 public = pytest.importorskip("public_tokenizers")
 
@@ -78,7 +79,7 @@ def test_nnls():
 # -- pieces -----------------------------------------------------------------------
 def test_codec(docs):
     path = public.path("piece_bpe_32k.model")
-    lib = sp_codec.Codec(path).library
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
     got = {}
     for r in sp_codec.encode(docs, path).collect():
         got.setdefault(r.doc_id, []).append(r)
@@ -95,9 +96,10 @@ def test_codec(docs):
 
 
 def test_merge_is_the_librarys():
-    codec = sp_codec.Codec(public.path("piece_bpe_32k.model"))
+    path = public.path("piece_bpe_32k.model")
+    codec, lib = sp_codec.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
     for w in ["hello", "Ünïcödé", "日本", "aaaaaaaaaaaa", "x🎉y", "1234,56"]:
-        assert codec.merge("▁" + w) == codec.library.encode(w)
+        assert codec.merge("▁" + w) == lib.encode(w)
 
 
 def test_character_map():
@@ -114,8 +116,34 @@ def test_character_map():
     units[b] = ord("b") | 1 << 8 | 512 << 10
     units[b ^ 512] = 0 | 1 << 31  # 'ab' -> pool[0:]
     blob = (4 * len(units)).to_bytes(4, "little") + np.array(units, "<u4").tobytes() + pool
-    assert sp_codec.CharMap(blob).apply("abac é".encode()) == ("Xyyc é".encode(), [0, 2, 2, 3, 4, 5, 6, 7])
-    assert sp_codec.CharMap(b"").apply(b"ab") == (b"ab", [0, 1, 2])
+    for blob, text, want, at in ((blob, "abac é", "Xyyc é", [0, 2, 2, 3, 4, 5, 6, 7]), (b"", "ab", "ab", [0, 1, 2])):
+        new, source = sp_codec.CharMap(blob).apply(text.encode())
+        assert new == want.encode() and source.tolist() == at
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_compiled_map(tmp_path, squeeze):
+    """The pieces of the model behind the compiled map of a built-in normaliser, against the library: ids, decoded text, spans."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(public.path("piece_bpe_32k.model"), "rb") as f:
+        proto.ParseFromString(f.read())
+    rules = sentencepiece_model_pb2.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = squeeze
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    codec, lib = sp_codec.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert codec.map.units
+    texts = ["", "Hello  World", " ＡＢＣ １２３ ﬁne", "Ｔｈｅ ½ ㌔ Straße", "e\u0301tude ÀÉ", "a\tb\nc  ", "日本語　テスト", "x🎉Y " * 50, "▁ a"]
+    for text, got in zip(texts, codec.encode_batch(texts)):
+        want = lib.encode(text, out_type="proto")
+        assert got[0].tolist() == [p.id for p in want.pieces], text
+        assert got[4] == lib.decode([p.id for p in want.pieces])
+        assert got[2].tolist() == [p.end for p in want.pieces], text
 
 
 # -- transport streams ------------------------------------------------------------
