@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
+from math import inf
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ from quarry.llm._words import CodeStore, Rolling, joined, ragged
 
 MARK = "▁"
 CACHE_SEGMENTS = 600_000
+#: Segments of so many characters are merged by scans.
+SHORT = 64
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_spans long, span_bytes long"
 
 
@@ -94,6 +98,7 @@ class Codec:
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.map, self.dummy, self.squeeze = CharMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.rank = {p.piece: (-p.score, k) for k, p in enumerate(proto.pieces) if p.type in (1, 4)}
+        self.order = {p: r for p, (r, _) in self.rank.items()}.get
         self.unknown, self.end = library.unk_id(), library.eos_id()
         self.byte_ids = {int(p.piece[3:5], 16): k for k, p in enumerate(proto.pieces) if p.type == 6}
         self.byte_of = {k: b for b, k in self.byte_ids.items()}
@@ -110,7 +115,29 @@ class Codec:
     def merge(self, segment: str) -> list[int]:
         """Pieces of a normalised segment (blank marks included): the best-ranked
         neighbours are merged first, the leftmost of equals."""
-        parts: list[str | None] = list(segment)
+        parts = self._merged_short(list(segment)) if len(segment) <= SHORT else self._merged_long(list(segment))
+        ids: list[int] = []
+        for p in parts:
+            known = self.rank.get(p)
+            ids += [known[1]] if known else [self.byte_ids[b] for b in p.encode()] if self.byte_ids else [self.unknown]
+        return ids
+
+    def _merged_short(self, parts: list[str]) -> list[str]:
+        """By a scan for each merge: quadratic, with the least work for words."""
+        order = self.order
+        ranks = [order(a + b, inf) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < inf:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = order(parts[i - 1] + parts[i], inf)
+            if i < len(ranks):
+                ranks[i] = order(parts[i] + parts[i + 1], inf)
+        return parts
+
+    def _merged_long(self, parts: list) -> list[str]:
+        """By a heap of neighbours."""
         left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         heap: list = []
 
@@ -131,12 +158,7 @@ class Codec:
             offer(i)
             if left[i] >= 0:
                 offer(left[i])
-        ids: list[int] = []
-        for p in parts:
-            if p is not None:
-                known = self.rank.get(p)
-                ids += [known[1]] if known else [self.byte_ids[b] for b in p.encode()] if self.byte_ids else [self.unknown]
-        return ids
+        return [p for p in parts if p is not None]
 
     def _learn(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """segments: a blank (the mark) and what follows up to the next cut."""
@@ -202,6 +224,12 @@ class Codec:
         return out
 
 
+@lru_cache(1)
+def _codec(path: str) -> Codec:
+    """One codec, with its memo, for all tasks of a worker."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, span_start, span_end (bytes of the original text), decoded;
     the end id closes ids and has no span."""
@@ -209,7 +237,7 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(model)
+        codec = _codec(model)
         for some in text_batches(batches, chars=2_000_000):
             rows = codec.encode_batch([t for _, t in some])
             cols = [
@@ -231,7 +259,7 @@ def digests(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(model)
+        codec = _codec(model)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for some in text_batches(batches):
             rows = codec.encode_batch([t for _, t in some])

@@ -98,8 +98,9 @@ def test_codec(docs):
 def test_merge_is_the_librarys():
     path = public.path("piece_bpe_32k.model")
     codec, lib = sp_codec.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    for w in ["hello", "Ünïcödé", "日本", "aaaaaaaaaaaa", "x🎉y", "1234,56"]:
+    for w in ["hello", "Ünïcödé", "日本", "aaaaaaaaaaaa", "x🎉y", "1234,56", "internationalisation" * 9, "ab" * 200]:
         assert codec.merge("▁" + w) == lib.encode(w)
+        assert codec._merged_short(list(w)) == codec._merged_long(list(w))
 
 
 def test_character_map():
