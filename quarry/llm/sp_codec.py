@@ -20,7 +20,6 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from math import inf
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,8 +30,9 @@ from quarry.llm._words import CodeStore, Rolling, joined, ragged
 
 MARK = "▁"
 CACHE_SEGMENTS = 600_000
-#: Segments of so many characters are merged by scans.
+#: Segments of at most so many characters are merged many at a time.
 SHORT = 64
+NEVER = 1 << 40
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_spans long, span_bytes long"
 
 
@@ -80,6 +80,42 @@ class CharMap:
         return bytes(out), np.array([*source, at])
 
 
+class Symbols:
+    """Numbers for pieces and characters, and which neighbours merge: a pair's rank and
+    symbol are found by the pair's key in sorted arrays."""
+
+    def __init__(self, rank: dict[str, tuple[float, int]]):
+        chars = sorted({c for p in rank for c in p if c not in rank})
+        number = {p: k for k, p in enumerate([*rank, *chars])}
+        self.piece = np.array([*(k for _, k in rank.values()), *(-1 for _ in chars), -1], np.int64)
+        #: Characters of no piece come after all others, by code point.
+        self.first_other = len(number)
+        self.of_char = np.arange(0x110000, dtype=np.int64) + self.first_other
+        self.chars = [c for c in number if len(c) == 1]
+        self.of_char[[ord(c) for c in self.chars]] = [number[c] for c in self.chars]
+        self.names = list(number)
+        order = {score: k for k, score in enumerate(sorted({r for r, _ in rank.values()}))}
+        self.width = self.first_other + 0x110000
+        pairs = sorted((number[p[:k]] * self.width + number[p[k:]], order[rank[p][0]], number[p]) for p in rank for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.keys, self.rank, self.whole = (np.array(x, np.int64) for x in zip(*pairs))
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, self.keys[at] == key
+
+    def ranks(self, symbol: np.ndarray, owner: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Ranks of the neighbours i, i + 1; NEVER where they do not merge."""
+        at, known = self._find(symbol[i], symbol[i + 1])
+        return np.where(known & (owner[i] == owner[i + 1]), self.rank[at], NEVER)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.whole[self._find(left, right)[0]]
+
+    def text(self, symbol: int) -> str:
+        return self.names[symbol] if symbol < self.first_other else chr(symbol - self.first_other)
+
+
 class Codec:
     """encode() and decode() for one model file."""
 
@@ -98,9 +134,11 @@ class Codec:
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.map, self.dummy, self.squeeze = CharMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.rank = {p.piece: (-p.score, k) for k, p in enumerate(proto.pieces) if p.type in (1, 4)}
-        self.order = {p: r for p, (r, _) in self.rank.items()}.get
+        self.symbols = Symbols(self.rank)
+        self.names = [str(k) for k in range(len(proto.pieces))]
         self.unknown, self.end = library.unk_id(), library.eos_id()
         self.byte_ids = {int(p.piece[3:5], 16): k for k, p in enumerate(proto.pieces) if p.type == 6}
+        self.spelled_ids = {self.unknown, *self.byte_ids.values()}
         self.byte_of = {k: b for b, k in self.byte_ids.items()}
         self.surface = [p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.width = np.array([1 if p.type == 6 else len(s) for p, s in zip(proto.pieces, self.surface)])
@@ -115,26 +153,60 @@ class Codec:
     def merge(self, segment: str) -> list[int]:
         """Pieces of a normalised segment (blank marks included): the best-ranked
         neighbours are merged first, the leftmost of equals."""
-        parts = self._merged_short(list(segment)) if len(segment) <= SHORT else self._merged_long(list(segment))
         ids: list[int] = []
-        for p in parts:
+        for p in self._merged_long(list(segment)):
             known = self.rank.get(p)
-            ids += [known[1]] if known else [self.byte_ids[b] for b in p.encode()] if self.byte_ids else [self.unknown]
+            ids += [known[1]] if known else self._spelled(p)
         return ids
 
-    def _merged_short(self, parts: list[str]) -> list[str]:
-        """By a scan for each merge: quadratic, with the least work for words."""
-        order = self.order
-        ranks = [order(a + b, inf) for a, b in zip(parts, parts[1:])]
-        while ranks and (best := min(ranks)) < inf:
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = order(parts[i - 1] + parts[i], inf)
-            if i < len(ranks):
-                ranks[i] = order(parts[i] + parts[i + 1], inf)
-        return parts
+    def _spelled(self, part: str) -> list[int]:
+        """A character that is no piece."""
+        return [self.byte_ids[b] for b in part.encode()] if self.byte_ids else [self.unknown]
+
+    def _merged_short(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What merge() gives for each of many segments (none empty), one after another, and
+        how many each has. In each round the best-ranked neighbours of every segment are
+        merged, in arrays over all of them; segments without such neighbours are done."""
+        length = np.array([len(x) for x in segments])
+        code = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")
+        symbol, owner = self.symbols.of_char[code], np.repeat(np.arange(len(segments)), length)
+        rank = self.symbols.ranks(symbol, owner, np.arange(len(symbol) - 1))
+        rank = np.append(rank, NEVER)
+        done: list[tuple] = []
+        while len(symbol):
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            size = np.diff(np.append(first, len(owner)))
+            best = np.repeat(np.minimum.reduceat(rank, first), size)
+            open_ = best < NEVER
+            done.append((owner[~open_], symbol[~open_]))
+            symbol, owner, rank, best = symbol[open_], owner[open_], rank[open_], best[open_]
+            if not len(symbol):
+                break
+            at = np.flatnonzero(rank == best)
+            at = at[np.append(True, owner[at][1:] != owner[at][:-1])]
+            symbol[at] = self.symbols.merged(symbol[at], symbol[at + 1])
+            stay = np.ones(len(symbol), bool)
+            stay[at + 1] = False
+            at = at - np.arange(len(at))
+            symbol, owner, rank = symbol[stay], owner[stay], rank[stay]
+            before = at[at > 0] - 1
+            for i in (at[at + 1 < len(symbol)], before):
+                rank[i] = self.symbols.ranks(symbol, owner, i)
+            if at[-1] + 1 == len(symbol):
+                rank[-1] = NEVER
+        owner, symbol = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        owner, symbol = owner[order], symbol[order]
+        ids = self.symbols.piece[np.minimum(symbol, len(self.symbols.piece) - 1)]
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, np.bincount(owner, minlength=len(segments))
+        spelled = [self._spelled(self.symbols.text(x)) for x in symbol[odd].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[odd] = [len(x) for x in spelled]
+        ids = np.repeat(ids, times)
+        ids[ids < 0] = [i for x in spelled for i in x]
+        return ids, np.bincount(np.repeat(owner, times), minlength=len(segments))
 
     def _merged_long(self, parts: list) -> list[str]:
         """By a heap of neighbours."""
@@ -165,9 +237,20 @@ class Codec:
         if not self.store.slots:
             self._fresh()
         text = [s.decode() for s in segments]
-        ids = [self.merge(t.replace(" ", MARK)) for t in text]
-        self.shown += [" ".join(map(str, x)) for x in ids]
-        self.decoded += [self._surface(x) for x in ids]
+        short = [k for k, t in enumerate(text) if len(t) <= SHORT]
+        ids: list = [None] * len(text)
+        if short:
+            codes, counts = self._merged_short([text[k].replace(" ", MARK) for k in short])
+            listed, ends = codes.tolist(), np.cumsum(counts).tolist()
+            for k, a, b in zip(short, [0, *ends], ends):
+                ids[k] = listed[a:b]
+        for k, t in enumerate(text):
+            if ids[k] is None:
+                ids[k] = self.merge(t.replace(" ", MARK))
+        names = self.names
+        self.shown += [" ".join([names[i] for i in x]) for x in ids]
+        spelled = self.spelled_ids
+        self.decoded += [t if spelled.isdisjoint(x) else self._surface(x) for t, x in zip(text, ids)]
         return np.array([k for x in ids for k in x], np.int64), np.array([len(x) for x in ids], np.int64)
 
     def _surface(self, ids: list[int]) -> str:

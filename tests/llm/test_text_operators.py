@@ -98,9 +98,11 @@ def test_codec(docs):
 def test_merge_is_the_librarys():
     path = public.path("piece_bpe_32k.model")
     codec, lib = sp_codec.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    for w in ["hello", "Ünïcödé", "日本", "aaaaaaaaaaaa", "x🎉y", "1234,56", "internationalisation" * 9, "ab" * 200]:
+    words = ["hello", "Ünïcödé", "日本", "aaaaaaaaaaaa", "x🎉y", "1234,56", "internationalisation" * 9, "ab" * 200, "\x00"]
+    for w in words:
         assert codec.merge("▁" + w) == lib.encode(w)
-        assert codec._merged_short(list(w)) == codec._merged_long(list(w))
+    ids, counts = codec._merged_short(["▁" + w for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [lib.encode(w) for w in words]
 
 
 def test_character_map():
