@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry import schemas
 from quarry.functions import scoring
 from quarry.functions.text import identifier_terms, query_intent
-from quarry.operators import fts, graph as g, lookup, vector
+from quarry.operators import fts, graph as g, lines as source_lines, lookup, vector
 
 CHANNEL = ["id", "channel", "signal", "lexical", "reason"]
 
@@ -50,6 +50,59 @@ def channels(symbols: DataFrame, query: str, limit: int, *, vectors: DataFrame |
     return out
 
 
+def wants_lines(query: str, found: int, limit: int) -> bool:
+    """Whether files are scanned: few other hits, or a query that looks like code or a phrase."""
+    q, terms = query.strip(), identifier_terms(query)
+    if limit <= 0 or len(q) < 3 or not terms:
+        return False
+    return found < limit or any(c in ":_./\\()-" for c in q) or (len(terms) >= 3 and len(q) >= 12)
+
+
+def line_limit(query: str, limit: int) -> int:
+    return max(32, min(512, limit * (16 if len(identifier_terms(query)) >= 3 else 8)))
+
+
+def line_symbols(hits: DataFrame, symbols: DataFrame) -> DataFrame:
+    """hits (file, line and more) with id, name, kind: the symbol around the line; of a file
+    without symbols a row of kind file_match with an id below 0; lines between symbols go."""
+    inner = lookup.enclosing(hits.select("file", "line"), symbols).withColumnsRenamed({"symbol_id": "id", "symbol_name": "name"})
+    inner = inner.join(symbols.select("id", "kind"), "id")
+    bare = hits.select("file", "line").distinct().join(symbols.select("file").distinct(), "file", "left_anti")
+    bare = bare.select("file", "line", (-1 - F.shiftrightunsigned(F.xxhash64("file", "line"), 1)).alias("id"), F.element_at(F.split("file", "/"), -1).alias("name"), F.lit("file_match").alias("kind"))
+    return hits.join(inner.select("file", "line", "id", "name", "kind").unionByName(bare), ["file", "line"])
+
+
+def line_channel(lines: DataFrame, symbols: DataFrame, query: str, limit: int) -> DataFrame:
+    """CHANNEL rows (one per matching line) with the columns of symbols that a hit shows."""
+    hits = _ranked(source_lines.ranked_scan(lines, query, line_limit(query, limit)), F.desc("points"), "file", "line")
+    met = line_symbols(hits, symbols)
+    weight = scoring.line_weight(F.col("match"), scoring.match_weight(target_match(query)))
+    return met.select("id", F.lit("line").alias("channel"), ((0.7 + scoring.rrf("rank")) * scoring.kind_boost("kind") * weight).alias("signal"), F.lit(True).alias("lexical"), F.lit("exact:file_line").alias("reason"), "name", "kind", "file", "line")
+
+
+def fact_search(facts: DataFrame, query: str, limit: int) -> DataFrame:
+    """The facts that hold the query's words (in type, value or file), the best first, with score and field."""
+    hits = fts.bm25(facts, "id", ["fact_type", "value", "file"], query)
+    return facts.join(hits, "id").orderBy("score", "file", "line", "fact_type", "value", "id").limit(limit)
+
+
+def fact_channel(facts: DataFrame, symbols: DataFrame, query: str, limit: int) -> DataFrame:
+    """CHANNEL rows of facts within a symbol (symbol_id); facts without one count in the ranks."""
+    ranked = _ranked(fact_search(facts, query, limit), "score", "file", "line", "fact_type", "value", "id")
+    met = ranked.select(F.col("symbol_id").alias("id"), "fact_type", "rank").join(symbols.select("id", "kind"), "id")
+    return met.select("id", F.lit("fact").alias("channel"), (scoring.rrf("rank") * scoring.kind_boost("kind")).alias("signal"), F.lit(True).alias("lexical"), F.concat(F.lit("fact:"), "fact_type").alias("reason"))
+
+
+def receiver_types(hits: DataFrame, symbols: DataFrame, score: float = 2.5) -> DataFrame:
+    """For methods among hits (kind, name, file) the class or interface of the same file that
+    the part before the last dot names, one for each: id, name, kind, file, line, score."""
+    owner = F.regexp_extract("name", "^(.*)\\.[^.]+$", 1)
+    asked = hits.where("kind = 'method'").select("file", owner.alias("owner")).where("owner <> ''").distinct()
+    types = symbols.where("kind in ('class', 'interface')").select("file", F.col("name").alias("owner"), F.struct("line", "id", "name", "kind").alias("s"))
+    best = asked.join(types, ["file", "owner"]).groupBy("file", "owner").agg(F.min("s").alias("s"))
+    return best.select("s.id", "s.name", "s.kind", "file", "s.line", F.lit(score).alias("score"))
+
+
 def fused(symbols: DataFrame, graph: DataFrame, found: DataFrame) -> DataFrame:
     """id, score, exact, reasons: signals summed per symbol; every lexical row (repeats
     too) adds the structural score of each neighbour; scores normalised by the best."""
@@ -75,10 +128,19 @@ def buckets(rows: DataFrame, symbols: DataFrame, limit: int, kind: str | None =
     return exact.unionByName(other.withColumn("bucket", F.lit("beyond")))
 
 
-def search(symbols: DataFrame, graph: DataFrame, query: str, limit: int = schemas.SEARCH_LIMIT, *, kind: str | None = None, **vector_options) -> DataFrame:
+def search(symbols: DataFrame, graph: DataFrame, query: str, limit: int = schemas.SEARCH_LIMIT, *, kind: str | None = None, facts: DataFrame | None = None, lines: DataFrame | None = None, **vector_options) -> DataFrame:
+    """Hits of all channels; facts (with symbol_id) and lines are searched where they are given."""
     limit = min(limit, schemas.SEARCH_LIMIT)
-    found = channels(symbols, query, limit * (10 if kind else 3), **vector_options)
-    return buckets(fused(symbols, graph, found), symbols, limit, kind)
+    most = limit * (10 if kind else 3)
+    shown = symbols.select("id", "name", "kind", "file", "line")
+    found = channels(symbols, query, most, **vector_options)
+    if facts is not None:
+        found = found.unionByName(fact_channel(facts, symbols, query, most))
+    if lines is not None and (wants_lines(query, most, most) or wants_lines(query, found.where("lexical").limit(most).count(), most)):
+        at = line_channel(lines, symbols, query, most)
+        found = found.unionByName(at.select(*CHANNEL))
+        shown = shown.unionByName(at.where("id < 0").select("id", "name", "kind", "file", "line").distinct())
+    return buckets(fused(symbols, graph, found), shown, limit, kind)
 
 
 def graph_mode(symbols: DataFrame, graph: DataFrame, target: int, mode: str, limit: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.operators import coupling, evidence, graph, index, lookup, search, vector
+from quarry.operators import callsites, coupling, evidence, graph, index, lookup, search, vector
 from quarry.sources import files, git, parse
 from quarry.sources.store import SnapshotStore
 
@@ -38,11 +38,13 @@ class Engine:
         all_symbols = keep("symbols", symbols).cache()
         raw = self._edges(new["edges"], symbols)
         gone = self.store.read("symbols").join(stale, "file", "left_semi").select("id")
-        old = index.unlink(self.store.read("edges"), gone)
+        old = index.unlink(self.store.read("edges").where(F.coalesce("original_name", F.lit("")) != callsites.MADE), gone)
         edges = self._resolved(old.unionByName(raw.select(*old.columns)), all_symbols)
         facts = index.materialise_facts(new["facts"].withColumn("end_line", F.col("line"))).withColumn("id", _id("file", "fact_type", "value", "enclosing"))
         calls = new["callsites"].withColumns({"id": _id("file", "line", "target", "callee"), "end_line": F.col("line"), "resolved_id": F.lit(None).cast("long"), "downweighted": F.col("generic")})
         aliases = new["aliases"].withColumns({"id": _id("file", "line", "local_name", "source"), "end_line": F.col("line"), "enclosing": F.lit(None).cast("string")})
+        calls, added = callsites.resolve(keep("callsites", calls), edges, all_symbols)
+        edges = edges.unionByName(added.select(*edges.columns))
         pairs = coupling.cochange(git.commits(self.spark, self.root, extensions=files.EXTENSIONS)) if history else self.store.read("cochange")
         all_facts = keep("facts", facts)
         cards = index.role_cards(all_symbols, all_facts, edges.where("target_id is not null"), pairs)
@@ -53,7 +55,7 @@ class Engine:
         text = symbols.select("id", F.concat_ws(" ", "kind", "name", "context").alias("text"))
         vectors = vector.hashing_embed(text, "id", "text", DIMS).withColumnRenamed("id", "symbol_id")
         kept = self.store.read("embeddings").join(gone, F.col("symbol_id") == F.col("id"), "left_anti").unionByName(vectors)
-        self.store.write({"symbols": all_symbols, "edges": edges, "facts": all_facts, "callsites": keep("callsites", calls), "aliases": all_aliases, "cochange": pairs, "role_cards": cards, "embeddings": kept, "index_meta": meta_now})
+        self.store.write({"symbols": all_symbols, "edges": edges, "facts": all_facts, "callsites": calls, "aliases": all_aliases, "cochange": pairs, "role_cards": cards, "embeddings": kept, "index_meta": meta_now})
         counts = {r["state"]: r["count"] for r in stale.groupBy("state").count().collect()}
         return {"files_new": counts.get("new", 0), "files_changed": counts.get("changed", 0), "files_deleted": counts.get("deleted", 0), "errors": parsed.where("what = 'error'").count()}
 
@@ -124,7 +126,8 @@ class Engine:
         asked = self.spark.createDataFrame([(0, query)], "id long, text string")
         embedded = vector.hashing_embed(asked, "id", "text", DIMS).first()["embedding"]
         vectors = self.store.read("embeddings").withColumnRenamed("symbol_id", "id")
-        rows = search.search(symbols, self._graph(), query, limit, kind=kind, vectors=vectors, embedded=embedded)
+        facts = index.enclosures(self.store.read("facts"), symbols)
+        rows = search.search(symbols, self._graph(), query, limit, kind=kind, facts=facts, lines=self._lines(), vectors=vectors, embedded=embedded)
         return search.envelope(query, [r.asDict() for r in rows.collect()])
 
     def _coupled(self, target: int) -> DataFrame:

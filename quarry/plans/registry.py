@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scoring
-from quarry.operators import coupling, fts, graph, index, lines, lookup, search, vector
+from quarry.operators import callsites, coupling, fts, graph, index, lines, lookup, ranking, scans, search, vector
 from quarry.plans.views import WITH, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -456,3 +456,162 @@ def content_dedup(v: Views) -> DataFrame:
     from quarry.streaming.debounce import changed_only
 
     return changed_only(v.table("events"), "user_id", "event_type", ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+# -- scans by key ---------------------------------------------------------------
+@query(f"select source_id, target_id, relationship, confidence from resolved where source_id = {TARGET}")
+def edges_from(v: Views) -> DataFrame:
+    return scans.edges_by(v.resolved(), source=TARGET)
+
+
+@query(f"select source_id, target_id, relationship, confidence from resolved where target_id = {TARGET}")
+def edges_to(v: Views) -> DataFrame:
+    return scans.edges_by(v.resolved(), target=TARGET)
+
+
+@query(f"select source_id, name as target_name, relationship, confidence from edges join symbols s on s.id = to_id where name = (select name from symbols where id = {TARGET})")
+def edges_to_name(v: Views) -> DataFrame:
+    name = v.symbols().where(F.col("id") == TARGET).first()["name"]
+    return scans.edges_by(_table_edges(v), name=name).select("source_id", "target_name", "relationship", "confidence")
+
+
+@query("select event_id as id, fact_type, value, line from facts where file = 'u7' order by line, fact_type, value, event_id")
+def facts_of_file(v: Views) -> DataFrame:
+    return scans.of_file(_facts(v), "facts", "u7").select("id", "fact_type", "value", "line")
+
+
+@query("select coalesce(bool_or(contains(text, 'a')), false) as found from lines where file = (select min(file) from lines) and line = 1")
+def line_has(v: Views) -> DataFrame:
+    rows = v.lines()
+    return scans.line_contains(rows, rows.agg(F.min("file")).first()[0], 1, "a")
+
+
+def _facts(v: Views) -> DataFrame:
+    return v.facts().withColumnRenamed("event_id", "id")
+
+
+def _calls(v: Views) -> DataFrame:
+    """A call site for every symbol: its own name as the target, a third of them resolved."""
+    last = F.element_at(F.split("name", "\\."), 2)
+    return v.symbols().select("id", "file", "line", last.alias("callee"), F.col("name").alias("target"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("resolved_id"))
+
+
+_CALLS = ", calls as (select id, file, line, string_split(name, '.')[2] as callee, name as target, case when id % 3 = 0 then id end as resolved_id from symbols)"
+
+
+@query(_CALLS + """
+select id, file, line, callee, resolved_id from calls where (callee = 'widget' or target = 'widget' or target ilike '%widget' or callee ilike '%widget%') and file ilike '%m1%'
+order by resolved_id is null, ends_with(file, '_test.go'), file, line, target, id limit 100""")
+def callsites_named(v: Views) -> DataFrame:
+    return scans.callsites_matching(_calls(v), "widget", 100, "m1").select("id", "file", "line", "callee", "resolved_id")
+
+
+_SUFFIX = "(select string_split(name, '.')[2] from symbols where id = {})"
+
+
+@query(f"select id, name, file, line from symbols where name ilike '%.' || {_SUFFIX.format(TARGET)} order by file, line, name, id limit 20")
+def symbols_method_suffix(v: Views) -> DataFrame:
+    name = v.symbols().where(F.col("id") == TARGET).first()["name"].split(".")[1]
+    return scans.method_suffix(v.symbols(), name).select("id", "name", "file", "line")
+
+
+@query("select id, name, file, line from symbols where name ilike 'brand1%gear' order by file, line, name, id limit 50")
+def symbols_like(v: Views) -> DataFrame:
+    return scans.named_like(v.symbols(), "brand1%gear", 50).select("id", "name", "file", "line")
+
+
+@query("select id, name, file, line, count(*) over () > 24 as truncated from symbols where name ilike '%gear%' order by file, line, name, id limit 24")
+def symbols_page(v: Views) -> DataFrame:
+    rows = v.symbols().where(F.col("name").ilike("%gear%")).select("id", "name", "file", "line")
+    return scans.page(rows, ["file", "line", "name", "id"], 24)
+
+
+@query("select id, name, case when kind = 'method' then 0 else 1 end as part from symbols where kind = 'method' or name ilike '%bolt%'")
+def symbols_merged(v: Views) -> DataFrame:
+    s = v.symbols().select("id", "name", "kind")
+    parts = [s.where("kind = 'method'").withColumn("part", F.lit(0)), s.where(F.col("name").ilike("%bolt%")).withColumn("part", F.lit(1))]
+    return scans.merged(parts, ["id"], ["name"]).select("id", "name", "part")
+
+
+# -- call sites -----------------------------------------------------------------
+def _open_calls(v: Views) -> DataFrame:
+    """Every pair of symbols that an open edge names, as a call site of the first one."""
+    to = v.symbols().select(F.col("id").alias("to_id"), F.col("name").alias("target"))
+    pairs = v.edges().where("not resolved").select("source_id", "to_id").distinct().join(to, "to_id")
+    return pairs.select((F.col("source_id") * 1_000_000 + F.col("to_id")).alias("call_id"), "source_id", F.element_at(F.split("target", "\\."), 2).alias("callee"), "target", (F.col("to_id") % 4 == 0).alias("generic"))
+
+
+def _named_edges(v: Views) -> DataFrame:
+    """Resolved edges as rows of the edges table."""
+    to = v.symbols().select(F.col("id").alias("target_id"), F.col("name").alias("target_name"))
+    e = graph.build(v.resolved()).join(to, "target_id")
+    return e.withColumn("id", F.col("source_id") * 1_000_000 + F.col("target_id"))
+
+
+_OPEN = """, opened as (select distinct source_id * 1000000 + to_id as call_id, source_id, string_split(name, '.')[2] as callee, name as target, to_id % 4 = 0 as generic from edges join symbols s on s.id = to_id where not resolved),
+named as (select source_id * 1000000 + target_id as id, source_id, target_id, name as target_name, relationship, confidence from best join symbols s on s.id = target_id)"""
+
+
+@query(_OPEN + """
+select call_id, resolved_id from (select c.call_id, e.target_id as resolved_id, row_number() over (partition by c.call_id order by e.confidence desc, e.id) as r
+from opened c join named e on e.source_id = c.source_id and e.relationship in ('calls', 'instantiates') and (e.target_name = c.target or ends_with(lower(e.target_name), lower(c.callee)))) where r = 1""")
+def callsites_from_edges(v: Views) -> DataFrame:
+    return callsites.from_edges(_open_calls(v), _named_edges(v))
+
+
+@query(_OPEN + """
+, pairs as (select distinct c.call_id, c.source_id, c.generic, s.id as target_id from opened c join symbols s on (s.name = c.target or string_split(s.name, '.')[2] = c.callee) and s.id <> c.source_id),
+f as (select source_id, target_id, (case when generic then 0.35 else 1.0 end)::double / count(*) over (partition by call_id) as c from pairs)
+select source_id, target_id, round(max(c), 6) as confidence from f where not exists (select 1 from named e where e.source_id = f.source_id and e.target_id = f.target_id and relationship = 'calls') group by all""")
+def callsites_new_edges(v: Views) -> DataFrame:
+    found = index.callsite_edges(_open_calls(v), v.symbols())
+    return callsites.new_edges(found, _named_edges(v)).withColumn("confidence", _r("confidence"))
+
+
+@query("""
+, t as (select file, string_split(name, '.')[1] as owner, id, line, row_number() over (partition by file, string_split(name, '.')[1] order by line, id) as r from symbols where kind in ('class', 'interface'))
+select t.id, owner as name, t.file, t.line, 2.5::double as score from t where r = 1 and exists (select 1 from symbols m where m.kind = 'method' and replace(m.file, 'economy', 'medium') = t.file and string_split(m.name, '.')[1] = owner)""")
+def receiver_types(v: Views) -> DataFrame:
+    """Methods of src/economy are taken as if they stood beside the classes of src/medium, named by their brand."""
+    s = v.symbols()
+    methods = s.withColumn("file", F.replace("file", F.lit("economy"), F.lit("medium")))
+    types = s.withColumn("name", F.element_at(F.split("name", "\\."), 1))
+    return search.receiver_types(methods, types).select("id", "name", "file", "line", "score")
+
+
+# -- facts and lines as channels ------------------------------------------------
+_FTOK = ", tok as (select event_id as id, t from facts, unnest(regexp_split_to_array(lower(fact_type || ' ' || value || ' ' || file), '[^\\p{L}\\p{N}]+')) u(t) where t <> ''), size as (select id, count(*) as size from tok group by id), tot as (select (select count(*) from facts) as n, sum(size) as words from size)"
+
+
+@query(_FTOK + """
+, f as (select id, t, count(*) as f from tok where t in ('purchase', '42') group by all), d as (select t, count(*) as m from f group by t),
+s as (select f.id, -sum(greatest(1e-6, ln((n - m + 0.5) / (m + 0.5))) * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * size / (words / n)))) as score from f join d using (t) join size using (id), tot group by f.id having count(*) = 2)
+select event_id as id, fact_type, value, file, line, round(score, 6) as score from s join facts on event_id = id""")
+def fact_hits(v: Views) -> DataFrame:
+    return search.fact_search(_facts(v), "purchase 42", 1 << 30).select("id", "fact_type", "value", "file", "line", _r("score"))
+
+
+@query("""
+, s as (select file, line, contains(lower(text), 'ba')::int + contains(lower(text), 'next')::int + 5 * contains(lower(text), 'next()')::int + 2 * regexp_matches(text, 'type |func ')::int as points from lines)
+select file, line, cast(points as bigint) as points from s where s.points > 0""")
+def evidence_lines(v: Views) -> DataFrame:
+    return ranking.ranked_lines(v.lines(), ["ba", "next"]).select("file", "line", "points")
+
+
+@query("""
+, m as (select file, line, lower(file) as p, lower(text) as x from lines where text ilike '%license%'),
+s as (select file, line, 3 * (contains(p, 'web')::int + contains(p, 'license')::int) + 1 + 2 * (contains(x, 'web')::int + contains(x, 'license')::int) as points from m)
+select file, line, cast(points as bigint) as points from s order by s.points desc, file, line limit 200""")
+def evidence_matches(v: Views) -> DataFrame:
+    hits = v.lines().where(F.col("text").ilike("%license%"))
+    return ranking.ranked_matches(hits, ["web", "license"], "which license").limit(200).select("file", "line", "points")
+
+
+@query("""
+, h as (select file, line, kind from symbols where id % 7 = 0 union all select 'src/none.ts', 3, 'x')
+select h.file, cast(h.line as bigint) as line, s.id as id, coalesce(s.kind, 'file_match') as kind from (select distinct file, line from h) h left join lateral
+(select id, kind from symbols s where s.file = h.file and h.line between s.line and s.end_line order by s.end_line - s.line, -s.line, s.id limit 1) s on true""")
+def line_symbols(v: Views) -> DataFrame:
+    s = v.symbols()
+    hits = s.where("id % 7 = 0").select("file", "line").union(v.spark.createDataFrame([("src/none.ts", 3)], "file string, line long")).distinct()
+    return search.line_symbols(hits, s).select("file", F.col("line").cast("long").alias("line"), F.when(F.col("id") >= 0, F.col("id")).alias("id"), "kind")
