@@ -26,25 +26,31 @@ class Engine:
     # -- writing ----------------------------------------------------------------
     def reindex(self, *, history: bool = True) -> dict[str, int]:
         """Reads the files that are new or changed, drops what is gone, resolves, and writes a snapshot."""
+        held: list[DataFrame] = []
+
+        def hold(rows: DataFrame) -> DataFrame:
+            held.append(rows.cache())
+            return held[-1]
+
         found = files.discover(self.spark, self.root)
         meta = self.store.read("index_meta")
-        stale = index.stale_files(found, meta, FINGERPRINT).cache()
+        stale = hold(index.stale_files(found, meta, FINGERPRINT))
         todo = found.join(F.broadcast(stale.where("state <> 'deleted'").select("file")), "file", "left_semi") if stale.count() <= 100_000 else found.join(stale.where("state <> 'deleted'").select("file"), "file", "left_semi")
-        parsed = parse.parse_files(todo).cache()
+        parsed = hold(parse.parse_files(todo))
         new = {w: parse.table(parsed, w) for w in parse.ROWS}
         symbols = new["symbols"].withColumn("language", files.language()).dropDuplicates(["file", "name", "kind", "line"])
         symbols = symbols.withColumn("id", _id("file", "name", "kind", "line", "end_line"))
         keep = lambda name, rows: index.replace_files(self.store.read(name), rows.select(*self.store.read(name).columns), stale)
-        all_symbols = keep("symbols", symbols).cache()
+        all_symbols = hold(keep("symbols", symbols))
         raw = self._edges(new["edges"], symbols)
         gone = self.store.read("symbols").join(stale, "file", "left_semi").select("id")
         old = index.unlink(self.store.read("edges").where(F.coalesce("original_name", F.lit("")) != callsites.MADE), gone)
-        edges = self._resolved(old.unionByName(raw.select(*old.columns)), all_symbols)
+        edges = hold(self._resolved(old.unionByName(raw.select(*old.columns)), all_symbols))
         facts = index.materialise_facts(new["facts"].withColumn("end_line", F.col("line"))).withColumn("id", _id("file", "fact_type", "value", "enclosing"))
         calls = new["callsites"].withColumns({"id": _id("file", "line", "target", "callee"), "end_line": F.col("line"), "resolved_id": F.lit(None).cast("long"), "downweighted": F.col("generic")})
         aliases = new["aliases"].withColumns({"id": _id("file", "line", "local_name", "source"), "end_line": F.col("line"), "enclosing": F.lit(None).cast("string")})
-        calls, added = callsites.resolve(keep("callsites", calls), edges, all_symbols)
-        edges = edges.unionByName(added.select(*edges.columns))
+        calls, added = callsites.resolve(hold(keep("callsites", calls)), edges, all_symbols, hold)
+        edges = hold(edges.unionByName(added.select(*edges.columns)))
         pairs = coupling.cochange(git.commits(self.spark, self.root, extensions=files.EXTENSIONS)) if history else self.store.read("cochange")
         all_facts = keep("facts", facts)
         cards = index.role_cards(all_symbols, all_facts, edges.where("target_id is not null"), pairs)
@@ -57,7 +63,10 @@ class Engine:
         kept = self.store.read("embeddings").join(gone, F.col("symbol_id") == F.col("id"), "left_anti").unionByName(vectors)
         self.store.write({"symbols": all_symbols, "edges": edges, "facts": all_facts, "callsites": calls, "aliases": all_aliases, "cochange": pairs, "role_cards": cards, "embeddings": kept, "index_meta": meta_now})
         counts = {r["state"]: r["count"] for r in stale.groupBy("state").count().collect()}
-        return {"files_new": counts.get("new", 0), "files_changed": counts.get("changed", 0), "files_deleted": counts.get("deleted", 0), "errors": parsed.where("what = 'error'").count()}
+        errors = parsed.where("what = 'error'").count()
+        for rows in held:
+            rows.unpersist()
+        return {"files_new": counts.get("new", 0), "files_changed": counts.get("changed", 0), "files_deleted": counts.get("deleted", 0), "errors": errors}
 
     def _imported(self, cards: DataFrame, edges: DataFrame, aliases: DataFrame, symbols: DataFrame, files: DataFrame, items: int = 16) -> DataFrame:
         """cards with imported, the first names of what a file's imports and aliases name, and tests, other test files whose path has its stem."""
