@@ -18,9 +18,9 @@ def test_refresh_and_ask(spark, tmp_path):
     assert {"Service", "Service.run", "Service.stop", "helper"} <= set(names)
     links = {(r.target_name, r.confidence) for r in e.store.read("edges").where("target_id is not null and relationship = 'calls'").collect()}
     assert links == {("h", 0.95), ("this.stop", 0.95)}
-    calls = {r.callee: r.resolved_id for r in e.store.read("callsites").collect()}
+    calls = {(r.file, r.line): r.resolved_id for r in e.store.read("callsites").collect()}
     ids = {r.name: r.id for r in e.store.read("symbols").collect()}
-    assert calls["h"] == ids["helper"] and calls["stop"] == ids["Service.stop"]
+    assert calls["src/service.ts", 4] == ids["helper"] and calls["src/service.ts", 5] == ids["Service.stop"], calls
     assert "fact:environment_variable" in e.search("API_URL")["exact_hits"][0]["reasons"]
     assert e.search("return x + 1")["exact_hits"][0]["name"] == "helper"  # only a line says so
     assert {x["name"] for x in e.impact("helper")} == {"Service.run", "Service"}  # the import belongs to the first symbol
