@@ -74,10 +74,20 @@ def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The symbol of the file whose first line is nearest; ties go to the earlier line, then the smaller id."""
-    s = symbols.select("file", F.col("line").alias("start"), "id", "name")
-    pick = F.min_by(F.struct("id", "name"), F.struct(F.abs(F.col("start") - F.col("line")), "start", "id"))
-    return points.distinct().join(s, "file").groupBy("file", "line").agg(pick.alias("s")).select("file", "line", F.col("s.id").alias("symbol_id"), F.col("s.name").alias("symbol_name"))
+    """The symbol of the file whose first line is nearest; ties go to the earlier line, then the smaller id;
+    symbols without a line come last. A file's points and first lines go by once in each direction."""
+    kind = points.schema["line"].dataType
+    named = F.struct(F.col("line").alias("start"), "id", "name")
+    starts = symbols.where("file is not null").groupBy("file", "line").agg(F.min(named).alias("s"))
+    points = points.select("file", "line").where("file is not null").distinct()
+    rows = starts.withColumn("asks", F.lit(False)).unionByName(points.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    file = Window.partitionBy("file")
+    placed = F.when(F.col("s.start").isNotNull(), F.col("s"))
+    rows = rows.withColumns({"before": F.last(placed, True).over(file.orderBy("line")), "after": F.last(placed, True).over(file.orderBy(F.desc("line"))), "other": F.min("s").over(file)})
+    first = F.col("after").isNull() | (F.col("line") - F.col("before.start") <= F.col("after.start") - F.col("line"))
+    pick = F.coalesce(F.when(first, F.col("before")), "after", "other")
+    rows = rows.where("asks").select("file", F.col("line").cast(kind).alias("line"), pick.alias("s")).where("s is not null")
+    return rows.select("file", "line", F.col("s.id").alias("symbol_id"), F.col("s.name").alias("symbol_name"))
 
 
 def anchors(points: DataFrame, symbols: DataFrame) -> DataFrame:
