@@ -88,6 +88,19 @@ def arrow_rows(batches: Iterable, *names: str) -> Iterator[tuple]:
             yield from zip(*(c.slice(at, 512).to_pylist() for c in cols))
 
 
+def slices(batch, name: str, most: int = 1_000_000) -> Iterator:
+    """An Arrow batch in slices of about so many bytes of the column name (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
+    turn = np.cumsum(size, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def text_batches(batches: Iterable, names: tuple[str, str] = ("doc_id", "text"), chars: int = 4_000_000) -> Iterator[list[tuple]]:
     """Rows (id, text) in lists of about so many characters of text."""
     some, held = [], 0

@@ -35,14 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm._common import partitions, stage, text_or_empty
+from quarry.llm._common import partitions, slices, stage, text_or_empty
 from quarry.llm._words import Rolling, joined
 
 LENGTH, K = 200, 64
 #: Bytes that one index block holds; an anchor's spans are never divided.
-BLOCK = 1_500_000
+BLOCK = 500_000
 #: An anchor's equal spans are counted within so many bytes of text before they are sent.
 CHUNK = 24_000_000
+#: Bytes of text whose windows are hashed at once: each costs a worker about 100 bytes of arrays.
+PIECE = 1_000_000
 _PLACES = (1 << 24) - 1
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -133,14 +135,13 @@ def anchors(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             names = batch.schema.get_field_index
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in slices(batch, "text"):
                 for d, t, text in zip(*(part.column(names(n)).to_pylist() for n in ("doc_id", "tag", "text"))):
                     raw = text.encode()
                     if len(raw) < LENGTH:
                         continue
-                    for at, piece in _pieces(raw, 8_000_000):
-                        if size and size + len(piece) > 4_000_000:
+                    for at, piece in _pieces(raw, PIECE):
+                        if size and size + len(piece) > PIECE:
                             take()
                             some, meta, size = [], [], 0
                         some.append(piece)
@@ -179,6 +180,7 @@ class RunLengthIndex:
         stop = np.repeat(self.at[:-1] + sizes, sizes + 8)  # where each place's text ends
         place = np.arange(n)
         self.left = np.maximum(stop - place, 0)
+        del stop
         longest = int(sizes.max()) if len(sizes) else 0
         padded = np.concatenate([self.raw, np.full(8, self.END, np.uint8)])
         key = np.zeros(n, np.uint64)
@@ -210,7 +212,7 @@ class RunLengthIndex:
     def _rank(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key, kind="stable")
         k = key[order]
-        rank = np.zeros(len(key), np.int64)
+        rank = np.zeros(len(key), np.int32)
         rank[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int64)]))[: len(key)]
         return rank
 
@@ -315,8 +317,7 @@ def _bodies(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             names = batch.schema.get_field_index
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text"):
                 out = []
                 for d, t, text, wanted in zip(*(part.column(names(n)).to_pylist() for n in ("doc_id", "tag", "text", "wanted"))):
                     raw = text.encode()
@@ -380,8 +381,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         for batch in batches:
             names = batch.schema.get_field_index
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, "text"):
                 out = []
                 for d, text, ranges in zip(*(part.column(names(n)).to_pylist() for n in ("id", "text", "ranges"))):
                     raw = text.encode()
