@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import text_batches, text_or_empty
+from quarry.llm._common import slices, text_batches, text_or_empty
 from quarry.llm._words import Rolling, bounds, joined
 
 PASSAGE = 64
@@ -33,7 +33,7 @@ SAMPLE = 2500
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 12, 40, 128, 0.01, 1e-4, 7
 THRESHOLD = 0.3
 
-_CLASSES = np.full(256, 6)
+_CLASSES = np.full(256, 6, np.int8)
 _CLASSES[ord("a") : ord("z") + 1] = 0
 _CLASSES[ord("A") : ord("Z") + 1] = 1
 _CLASSES[ord("0") : ord("9") + 1] = 2
@@ -153,7 +153,7 @@ def _bags(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for some in text_batches(batches):
+        for some in text_batches(batches, chars=1_000_000):
             x, many = passages([t for _, t in some])
             cut = np.split(x.astype(np.float64), np.cumsum(many)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([c.ravel() for c in cut], pa.list_(pa.float64()))], ["doc_id", "x"])
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: GatedAttention, *, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator) -> Iterator:
-        for some in text_batches(batches):
+        for some in text_batches(batches, chars=1_000_000):
             s = model.score(*passages([t for _, t in some]))
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array(s, pa.float64())], ["doc_id", "score"])
 
@@ -199,8 +199,7 @@ def accept(docs: DataFrame, model: GatedAttention, *, text_col: str = "text", th
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, text_col):
                 texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
                 good = model.score(*passages(texts)) >= threshold
                 yield part.filter(pa.array(good))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarry.llm import substring_dedup
+from quarry.llm import quality_mil, substring_dedup
 from quarry.llm._common import slices
 
 
@@ -43,6 +43,11 @@ def test_anchors(batch):
     assert peak(lambda: substring_dedup.anchors(Local(batch))) < 200
 
 
+def test_accept(batch):
+    model = quality_mil.GatedAttention()
+    assert peak(lambda: quality_mil.accept(Local(batch), model)) < 100
+
+
 def test_slices():
     texts = ["a" * 300, None, "", "b" * 5000, "c", "d" * 900, "e" * 900]
     batch = pa.RecordBatch.from_pydict({"text": texts})
