@@ -28,7 +28,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Prefix sums over one byte string; span(s, e) hashes its parts."""
 
-    _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U), np.ones(1, U))
+    _NONE: tuple[np.ndarray, np.ndarray] = (np.ones(1, U), np.ones(1, U))
+    _powers = _NONE
+
+    @classmethod
+    def forget(cls) -> None:
+        """Lets the powers go, 16 bytes for each byte of the longest text so far."""
+        cls._powers = cls._NONE
 
     def __init__(self, raw: np.ndarray):
         n = len(raw)

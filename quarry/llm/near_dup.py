@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import Scratch, text_batches, text_or_empty
+from quarry.llm._common import Scratch, frugal, text_batches, text_or_empty
 from quarry.llm._graph import components, joined_components
 from quarry.llm._rare import may_match, rare_prefixes
 from quarry.llm._words import Rolling, bounds, joined, mix
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for some in text_batches(batches):
+        for some in text_batches(batches, chars=1_000_000):
             sets = shingle_sets([t for _, t in some], shingle)
             full = [k for k, s in enumerate(sets) if len(s)]
             keys = [None] * len(sets)
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
                 ["doc_id", "n_shingles", "digest", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.mapInArrow(frugal(run), "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
@@ -131,11 +131,11 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for some in text_batches(batches):
+        for some in text_batches(batches, chars=1_000_000):
             sets = [s.view(np.int64) for s in shingle_sets([t for _, t in some], shingle)]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes array<long>")
+    return docs.mapInArrow(frugal(run), "doc_id long, hashes array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:

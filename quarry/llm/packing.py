@@ -27,7 +27,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm._common import text_batches, text_or_empty
+from quarry.llm._common import frugal, text_batches, text_or_empty
 from quarry.llm._words import CodeStore, Rolling, bounds, joined, ragged
 
 WINDOW, END_ID = 2048, 1
@@ -273,7 +273,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     from pyspark.sql import functions as F
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(frugal(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 def padding(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import slices, text_batches, text_or_empty
+from quarry.llm._common import frugal, slices, text_batches, text_or_empty
 from quarry.llm._words import Rolling, bounds, joined
 
 PASSAGE = 64
@@ -158,7 +158,7 @@ def _bags(rows: DataFrame) -> DataFrame:
             cut = np.split(x.astype(np.float64), np.cumsum(many)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([c.ravel() for c in cut], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
+    return rows.mapInArrow(frugal(run), "doc_id long, x array<double>")
 
 
 def held_out(id_col: str):
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: GatedAttention, *, id_col: str = "doc_id", tex
             s = model.score(*passages([t for _, t in some]))
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def accept(docs: DataFrame, model: GatedAttention, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -204,7 +204,7 @@ def accept(docs: DataFrame, model: GatedAttention, *, text_col: str = "text", th
                 good = model.score(*passages(texts)) >= threshold
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def evaluate(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm._common import partitions, slices, stage, text_or_empty
+from quarry.llm._common import frugal, partitions, slices, stage, text_or_empty
 from quarry.llm._words import Rolling, joined
 
 LENGTH, K = 200, 64
@@ -158,7 +158,7 @@ def anchors(docs: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, ANCHORS)
+    return docs.mapInArrow(frugal(run), ANCHORS)
 
 
 class RunLengthIndex:
@@ -306,7 +306,7 @@ def index_blocks(entries: DataFrame, block: int = BLOCK) -> DataFrame:
         if rows:
             yield ranges(rows)
 
-    return entries.mapInArrow(run, RANGES)
+    return entries.mapInArrow(frugal(run), RANGES)
 
 
 def _bodies(rows: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def _bodies(rows: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "counted", "doc_id", "tag", "lo", "body"])
 
-    return rows.mapInArrow(run, "anchor long, counted boolean, doc_id long, tag long, lo int, body binary")
+    return rows.mapInArrow(frugal(run), "anchor long, counted boolean, doc_id long, tag long, lo int, body binary")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -394,7 +394,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     kept = [f for f in rows.schema.fields if f.name == "row"]
     out = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return rows.mapInArrow(run, StructType([*out.fields, *kept]))
+    return rows.mapInArrow(frugal(run), StructType([*out.fields, *kept]))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarry.llm import quality_mil, substring_dedup
+from quarry.llm import near_dup, quality_mil, substring_dedup
 from quarry.llm._common import slices
+from quarry.llm._words import Rolling
 
 
 class Local:
@@ -54,3 +55,12 @@ def test_slices():
     got = [s.column(0).to_pylist() for s in slices(batch, "text", 1000)]
     assert sum(got, []) == texts and len(got) > 2 and all(sum(len(t or "") for t in s[1:]) <= 1000 for s in got)
     assert list(slices(batch.slice(0, 0), "text")) == []
+
+
+def test_worker_lets_go(batch):
+    """What the pipeline's workers keep once a task is done stays beside an executor's next stage."""
+    model = quality_mil.GatedAttention()
+    docs = Local(batch)
+    for f in (lambda: quality_mil.accept(docs, model), lambda: substring_dedup.anchors(docs), lambda: near_dup.signatures(docs, 5, 6, 32), lambda: near_dup.sets_of(docs, 5)):
+        f()
+        assert sum(p.nbytes for p in Rolling._powers) < 1000
