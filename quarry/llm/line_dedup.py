@@ -1,16 +1,14 @@
 """Repeated lines by an exact set-similarity join.
 
 A line's tokens are its distinct shingles of SHINGLE words (A-Z lowered; a
-shorter line is one token). A line is removed if an earlier one (by document,
+shorter line matches equal ones only). A line is removed if an earlier one (by document,
 then line) has a Jaccard similarity of at least LEAST / OF; blank lines never
 match. Equal lines are one class from the start. Between classes:
 
 1. Sample. Two lines that match miss at most a share 1 - LEAST / OF of either's
-   tokens. So of the tokens that come first in any fixed order, that share plus
-   k hold at least k common ones, in both lines. The order here is by the hash
-   of a token's first word, as only the chosen tokens are then hashed whole.
-   One that only a single class has is in no match; a line with fewer than k
-   others is done.
+   tokens. A run of words that a single class has is in no token of the others, so
+   all tokens around it are missed. Runs are chosen by their hash alone, in all
+   lines alike; a line is done if more tokens than that lie around its own ones.
 2. Rarity. Of the lines that stay all tokens are counted exactly and ordered by
    rarity. A line stays if others have a share LEAST / OF of its tokens; its prefix
    is the rarest tokens, so many that a match cannot lie in the rest alone.
@@ -38,10 +36,9 @@ from quarry.llm._common import Scratch, text_or_empty
 from quarry.llm._rare import may_match, rare_prefixes
 
 SHINGLE, LEAST, OF, WIDTH = 5, 80, 100, 8
-#: Of MORE tokens one is sampled beyond the share that may be missed.
-MORE = 10
+#: Runs of words are sampled: PART words fewer than a shingle, SHARE of 100.
+PART, SHARE = 1, 25
 _LAST = (1 << 63) - 1
-_FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz    "
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -50,74 +47,84 @@ def _key(id_col: str, text_col: str) -> list[Column]:
     return [own.alias("id"), F.unhex(F.md5(text_or_empty(text_col).cast("binary"))).alias("digest")]
 
 
-def _split(text: Column) -> Column:
-    """The lines of a text, A-Z lowered and white space as blanks."""
-    return F.split(F.translate(text, _FROM, _TO), "\n")
+def _fold(text: Column) -> Column:
+    """A text with A-Z lowered and white space as blanks. Its bytes become characters of their own, so
+    that the lowering sees Latin-1 only: of these it lowers C0 to DE too, bytes that begin a character
+    of two bytes; what they become begins longer ones, so different texts stay different."""
+    low = F.lower(F.decode(text.cast("binary"), "ISO-8859-1"))
+    return F.when(low.rlike("[\t\x0b\x0c\r]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
 
 
 def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _let(value: Column, body) -> Column:
-    """body of value, which is computed once (a column named in a lambda may be computed for each element)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _lines(docs: DataFrame, keys: list[Column], text_col: str) -> DataFrame:
+    """One row per line with words: keys, line_no, line (its words, one blank between), c1, c2 (its class)."""
+    names = docs.select(*keys).columns
+    lines = docs.select(*keys, _fold(text_or_empty(text_col)).alias("text"))
+    lines = lines.select(*names, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    loose = F.col("line").contains("  ") | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
+    lines = lines.select(*names, "line_no", F.when(loose, F.array_join(_words(F.col("line")), " ")).otherwise(F.col("line")).alias("line"))
+    return lines.select(*names, "line_no", "line", F.xxhash64("line").alias("c1"), F.xxhash64(F.lit(1), "line").alias("c2"))
 
 
-def _shingles(starts: Column, hashes: str, shingle: int) -> Column:
-    """Distinct hashes of the shingles that begin at starts (from 0)."""
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(shingle)))))
+def _most(words: str, shingle: int) -> Column:
+    """So many shingles begin in a line."""
+    return F.greatest(F.lit(0), F.size(words) - (shingle - 1))
 
 
-def _tokens(shingle: int) -> Column:
-    """All tokens, from the column hashes (of a line's words)."""
-    n = F.size("hashes") - (shingle - 1)
-    return F.when(n > 0, _shingles(F.sequence(F.lit(0), n - 1), "hashes", shingle)).otherwise(F.array(F.xxhash64("hashes")))
+def _hash(size: int, at: Column) -> Column:
+    return F.xxhash64(*(F.get("words", at + k) for k in range(size)))
 
 
-def sampled(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: int, of: int) -> DataFrame:
-    """One row per line with words: id, digest, line_no, c1, c2 (its class), need (so many
-    tokens of the sample stand in any match), sample (of lines of at least shingle words;
-    other lines match equal ones only)."""
-    lines = docs.select(*_key(id_col, text_col), _split(text_or_empty(text_col)).alias("lines")).select("id", "digest", F.posexplode_outer("lines").alias("line_no", "line"))
-    lines = lines.where("trim(line) <> ''").select("id", "digest", "line_no", _words(F.col("line")).alias("words"))
-    lines = lines.select("id", "digest", "line_no", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    starts = F.slice("hashes", F.lit(1), F.col("most"))
-    lines = lines.withColumn("most", F.greatest(F.lit(0), F.size("hashes") - (shingle - 1)))
-    missed = F.floor(F.col("most") * (of - least) / of).cast("int")
-    lines = lines.withColumn("wanted", missed + F.floor(F.col("most") / MORE).cast("int") + 1)
-    low = F.greatest(F.lit(1), F.size(F.array_distinct("hashes")) - (shingle - 1))
-    lines = lines.withColumn("low", F.when(F.col("most") > 0, low))
-    every = F.sequence(F.lit(0), F.col("most") - 1)
-    first = _let(F.get(F.sort_array(starts), F.col("wanted") - 1), lambda limit: F.filter(every, lambda i: F.get("hashes", i) <= limit))
-    lines = lines.withColumn("sample", F.when(F.col("most") > 0, _shingles(first, "hashes", shingle)))
-    # shingles that repeat may leave too few; then all are taken
-    short = (F.col("most") > 0) & (F.size("sample") < F.col("wanted"))
-    sample = F.when(short, _shingles(every, "hashes", shingle)).otherwise(F.col("sample"))
-    need = F.floor(F.col("low") * least / of / MORE).cast("int") + 1
-    return lines.select("id", "digest", "line_no", "c1", "c2", need.alias("need"), sample.alias("sample"))
+def _alone(lines: DataFrame, shingle: int) -> DataFrame:
+    """c1, alone: so many distinct shingles of a class, at least, are in no other class.
+
+    lines: c1, line. Of the runs of PART words fewer than a shingle those are sent whose hash is
+    low, whatever the line. One that a single class has, at a single place, is in no shingle of
+    another class, and the shingles around it stand at their places only. A run right after
+    another that was sent counts for nothing, so no shingle counts twice.
+    """
+    size = max(1, shingle - PART)
+    span = shingle - size + 1  # shingles around a run
+    low = int((_LAST + 1) * (SHARE / 50 - 1))
+    words = lines.select("c1", F.split("line", " ").alias("words")).withColumn("most", _most("words", shingle))
+    runs = words.where("most > 0").select("c1", "words", "most", F.posexplode("words").alias("at", "word")).where(F.col("at") < F.col("most") + (span - 1))
+    runs = runs.withColumn("token", _hash(size, F.col("at"))).where(F.col("token") < low)
+    first = F.lit(True)
+    for back in range(1, span):
+        first = first & ((F.col("at") < back) | (_hash(size, F.col("at") - back) >= low))
+    around = F.least("at", F.col("most") - 1) - F.greatest(F.lit(0), F.col("at") - (span - 1)) + 1
+    place = F.col("at").cast("long") * (span + 1) + F.when(first, around).otherwise(0)
+    runs = runs.select("c1", "token", place.alias("place"))
+    runs = runs.select("token", "place", F.col("c1").bitwiseXOR(F.xxhash64("place")).alias("owner"))
+    once = runs.groupBy("token").agg(F.min("owner").alias("one"), F.max("owner").alias("other"), F.max("place").alias("place")).where("one = other")
+    once = once.select(F.col("one").bitwiseXOR(F.xxhash64("place")).alias("c1"), (F.col("place") % (span + 1)).alias("weight")).where("weight > 0")
+    return once.groupBy("c1").agg(F.sum("weight").alias("alone"))
 
 
 def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: int = LEAST, of: int = OF) -> DataFrame:
     """The lines to remove: id, digest (see _key), line_no, and the earlier line that
     each matches: of_id, of_digest, of_line."""
     own = Scratch(docs.sparkSession)
-    lines = own.keep(sampled(docs, id_col, text_col, shingle, least, of), "lines")
-    each = lines.select("c1", F.explode("sample").alias("token"))
-    shared = each.groupBy("token").agg(F.min("c1").alias("one"), F.max("c1").alias("other")).where("one <> other").select("token")
-    shared = own.keep(shared, "shared")
-    have = each.join(shared, "token", "left_semi").groupBy("c1").agg(F.count("*").alias("have"))
-    heads = lines.groupBy("c1", "c2").agg(F.min(F.struct("id", "digest", "line_no")).alias("at"), F.count("*").alias("n"), F.first("need").alias("need"))
-    heads = heads.join(have, "c1", "left").withColumn("open", F.coalesce(F.col("have") >= F.col("need") * F.col("n"), F.lit(False)))
+    lines = _lines(docs, _key(id_col, text_col), text_col)
+    lines = own.keep(lines.select("id", "digest", "line_no", "c1", "c2", _most(F.split("line", " "), shingle).alias("most")), "lines")
+    heads = lines.groupBy("c1", "c2").agg(F.min(F.struct("id", "digest", "line_no")).alias("at"), F.count("*").alias("n"), F.first("most").alias("most"))
+    heads = heads.join(_alone(_lines(docs, [], text_col).select("c1", "line"), shingle), "c1", "left")
+    missed = F.floor(F.col("most") * (of - least) / of)
+    heads = heads.withColumn("open", (F.col("most") > 0) & (F.coalesce("alone", F.lit(0)) <= missed))
     heads = own.keep(heads.where("n > 1 or open").select("c1", "c2", "at", "n", "open"), "heads")
-    own.drop(shared)
 
     sets = own.keep(_sets(docs, heads.where("open").select("at", "c1", "c2"), id_col, text_col, shingle), "sets")
-    rows = rare_prefixes(sets, ["c1", "c2"], ["at"], least, of).select("token", "at", "n", "rest")
-    meet = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    rows = own.keep(rows.join(meet, "token"), "entries")
-    found = own.keep(_matches(own, rows, sets, least, of), "found")
-    own.drop(sets)
+    every = own.keep(rare_prefixes(sets, ["c1", "c2"], ["at"], least, of).select("token", "at", "n", "rest"), "prefixes")
+    meet = every.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    rows = own.keep(every.join(meet, "token"), "entries")
+    # verification reads the sets of lines that meet another
+    few = own.keep(sets.select("at", "tokens").join(rows.select("at").distinct(), "at", "left_semi"), "sets")
+    own.drop(every, sets)
+    found = own.keep(_matches(own, rows, few, least, of), "found")
+    own.drop(few)
 
     best = found.groupBy("at").agg(F.min("of").alias("of"))
     heads = heads.select("c1", "c2", "at", "n").join(best, "at", "left").where("n > 1 or of is not null")
@@ -127,20 +134,20 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """The wanted lines (at, c1, c2) with all their tokens."""
+    """The wanted lines (at, c1, c2), each of at least one shingle, with all their tokens."""
     wanted = wanted.groupBy("at.id", "at.digest").agg(F.collect_list(F.struct("at.line_no", "c1", "c2")).alias("wanted"))
     texts = docs.select(*_key(id_col, text_col), text_or_empty(text_col).alias("text")).join(wanted, ["id", "digest"])
-    lines = texts.select("id", "digest", "wanted", _split(F.col("text")).alias("lines"))
-    lines = lines.select("id", "digest", F.explode(F.transform("wanted", lambda x: F.struct(x["line_no"].alias("line_no"), x["c1"].alias("c1"), x["c2"].alias("c2"), F.get("lines", x["line_no"]).alias("line")))).alias("x"))
-    lines = lines.select(F.struct("id", "digest", "x.line_no").alias("at"), "x.c1", "x.c2", F.transform(_words(F.col("x.line")), lambda w: F.xxhash64(w)).alias("hashes"))
-    lines = lines.select("at", "c1", "c2", _tokens(shingle).alias("tokens"))
+    lines = texts.select("id", "digest", "wanted", F.split(_fold(F.col("text")), "\n").alias("lines"))
+    lines = lines.select("id", "digest", "lines", F.explode("wanted").alias("x"))
+    lines = lines.select(F.struct("id", "digest", "x.line_no").alias("at"), "x.c1", "x.c2", _words(F.get("lines", F.col("x.line_no"))).alias("words"))
+    tokens = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - shingle), lambda at: _hash(shingle, at)))
+    lines = lines.select("at", "c1", "c2", tokens.alias("tokens"))
     return lines.groupBy("c1", "c2").agg(F.first("at").alias("at"), F.first("tokens").alias("tokens"))  # equal rows are one
 
 
 def _matches(own: Scratch, rows: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
     """at, of: lines and an earlier line that each matches."""
     fits = may_match(least, of)
-    sets = sets.select("at", "tokens")
     found, width = None, 1
     rows, first = rows.withColumn("matched", F.lit(False)), rows
     while True:

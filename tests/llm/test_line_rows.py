@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import pytest
+
 from quarry.llm import line_dedup, substring_dedup
 
 A, B, C = "first line of words", "second line that nobody else has", "a third line here"
@@ -90,3 +93,32 @@ def test_substring_rows_without_id(spark):
         want.append((texts[k][0], len(t), sum(gone), hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
     got = substring_dedup.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == Counter(want)
+
+
+@pytest.mark.parametrize("shingle", [5, 3, 1])
+@pytest.mark.parametrize("share", [25, 45])
+def test_alone(spark, monkeypatch, shingle, share):
+    """Never more than a class's distinct shingles that no other class has, also where words and shingles repeat in a line."""
+    monkeypatch.setattr(line_dedup, "SHARE", share)
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefghijklmnop"[: 2 + k % 15]) for _ in range(r.randint(1, 60))) for k in range(300)]
+    texts += texts[:40] + [f"  {t.upper()} \t" for t in texts[40:60]]
+    lines = line_dedup._lines(spark.createDataFrame([(t,) for t in texts], "text string"), [], "text").select("c1", "line").collect()
+    sets = {}
+    for c1, line in lines:
+        w = line.split(" ")
+        sets[c1] = {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)}
+    times = Counter(t for s in sets.values() for t in s)
+    got = {x.c1: x.alone for x in line_dedup._alone(spark.createDataFrame(lines), shingle).collect()}
+    assert (got or shingle == 1) and all(n <= sum(times[t] == 1 for t in sets[c]) for c, n in got.items())
+    assert len(sets) == 300 - sum(v > 1 for v in Counter(texts[:300]).values())
+
+
+def test_lowered_bytes(spark):
+    """A-Z only are lowered, and different texts stay different."""
+    rows = ["AZ az \u00c0\u00e0 \u00d7\u00f7", "\u00c3\u0103\u00e3\u0123", "\u03a3\u03c3\u03c2", "\u0130i\u0131", "\u2160\u2170", "\U00010400\U00010428", "\ua640\ua641", "K\u212ak"]
+    rows += [c for t in rows for c in t] + ["\tX\x0by\rz\x0c"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").repartition(2)
+    got = dict(frame.select("k", line_dedup._fold(line_dedup.F.col("t"))).collect())
+    plain = [re.sub("[\t\x0b\x0c\r]", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) for t in rows]
+    assert len({got[k] for k in got}) == len(set(plain)) and all((got[a] == got[b]) == (plain[a] == plain[b]) for a in got for b in got)
