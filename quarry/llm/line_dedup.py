@@ -7,8 +7,8 @@ match. Equal lines are one class from the start. Between classes:
 
 1. Sample. Two lines that match miss at most a share 1 - LEAST / OF of either's
    tokens. A run of words that a single class has is in no token of the others, so
-   all tokens around it are missed. Runs are chosen by their hash alone, in all
-   lines alike; a line is done if more tokens than that lie around its own ones.
+   all tokens around it are missed. Runs are chosen by the hashes of their first words
+   alone, in all lines alike; a line is done if more tokens than that lie around its own ones.
 2. Rarity. Of the lines that stay all tokens are counted exactly and ordered by
    rarity. A line stays if others have a share LEAST / OF of its tokens; its prefix
    is the rarest tokens, so many that a match cannot lie in the rest alone.
@@ -36,8 +36,8 @@ from quarry.llm._common import Scratch, text_or_empty
 from quarry.llm._rare import may_match, rare_prefixes
 
 SHINGLE, LEAST, OF, WIDTH = 5, 80, 100, 8
-#: Runs of words are sampled: PART words fewer than a shingle, SHARE of 100.
-PART, SHARE = 1, 25
+#: Runs of words are sampled: PART words fewer than a shingle, SHARE of 100 words may be their first.
+PART, SHARE = 1, 40
 _LAST = (1 << 63) - 1
 
 
@@ -55,8 +55,10 @@ def _fold(text: Column) -> Column:
     return F.when(low.rlike("[\t\x0b\x0c\r]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+def _even(line: str) -> Column:
+    """A folded line with one blank between words and none around them."""
+    loose = F.col(line).contains("  ") | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(loose, F.array_join(F.array_remove(F.split(line, " "), ""), " ")).otherwise(F.col(line))
 
 
 def _lines(docs: DataFrame, keys: list[Column], text_col: str) -> DataFrame:
@@ -64,43 +66,40 @@ def _lines(docs: DataFrame, keys: list[Column], text_col: str) -> DataFrame:
     names = docs.select(*keys).columns
     lines = docs.select(*keys, _fold(text_or_empty(text_col)).alias("text"))
     lines = lines.select(*names, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("trim(line) <> ''")
-    loose = F.col("line").contains("  ") | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
-    lines = lines.select(*names, "line_no", F.when(loose, F.array_join(_words(F.col("line")), " ")).otherwise(F.col("line")).alias("line"))
+    lines = lines.select(*names, "line_no", _even("line").alias("line"))
     return lines.select(*names, "line_no", "line", F.xxhash64("line").alias("c1"), F.xxhash64(F.lit(1), "line").alias("c2"))
 
 
-def _most(words: str, shingle: int) -> Column:
+def _most(words: Column, shingle: int) -> Column:
     """So many shingles begin in a line."""
     return F.greatest(F.lit(0), F.size(words) - (shingle - 1))
 
 
-def _hash(size: int, at: Column) -> Column:
-    return F.xxhash64(*(F.get("words", at + k) for k in range(size)))
+def _low(word: Column) -> Column:
+    """Whether a word is one of SHARE of 100, by its hash."""
+    return F.xxhash64(word) < int((_LAST + 1) * (SHARE / 50 - 1))
 
 
 def _alone(lines: DataFrame, shingle: int) -> DataFrame:
     """c1, alone: so many distinct shingles of a class, at least, are in no other class.
 
-    lines: c1, line. Of the runs of PART words fewer than a shingle those are sent whose hash is
-    low, whatever the line. One that a single class has, at a single place, is in no shingle of
-    another class, and the shingles around it stand at their places only. A run right after
-    another that was sent counts for nothing, so no shingle counts twice.
+    lines: c1, line. Of the runs of PART words fewer than a shingle those are sent whose first word
+    is low and whose second is not, whatever the line. No shingle has two of them. One that a single class
+    has is in no shingle of another class; a shingle begins with it and another one ends
+    with it, but at an end of the line.
     """
-    size = max(1, shingle - PART)
-    span = shingle - size + 1  # shingles around a run
-    low = int((_LAST + 1) * (SHARE / 50 - 1))
-    words = lines.select("c1", F.split("line", " ").alias("words")).withColumn("most", _most("words", shingle))
-    runs = words.where("most > 0").select("c1", "words", "most", F.posexplode("words").alias("at", "word")).where(F.col("at") < F.col("most") + (span - 1))
-    runs = runs.withColumn("token", _hash(size, F.col("at"))).where(F.col("token") < low)
-    first = F.lit(True)
-    for back in range(1, span):
-        first = first & ((F.col("at") < back) | (_hash(size, F.col("at") - back) >= low))
-    around = F.least("at", F.col("most") - 1) - F.greatest(F.lit(0), F.col("at") - (span - 1)) + 1
-    place = F.col("at").cast("long") * (span + 1) + F.when(first, around).otherwise(0)
-    runs = runs.select("c1", "token", place.alias("place"))
-    runs = runs.select("token", "place", F.col("c1").bitwiseXOR(F.xxhash64("place")).alias("owner"))
-    once = runs.groupBy("token").agg(F.min("owner").alias("one"), F.max("owner").alias("other"), F.max("place").alias("place")).where("one = other")
-    once = once.select(F.col("one").bitwiseXOR(F.xxhash64("place")).alias("c1"), (F.col("place") % (span + 1)).alias("weight")).where("weight > 0")
+    part = PART if shingle > PART + 2 else 0  # runs of two words are seldom a class's own
+    size = shingle - part
+    # posexplode_outer, and no filter on words alone: Spark would move a filter down and split each line once more
+    runs = lines.select("c1", F.split("line", " ").alias("words")).select("c1", "words", F.posexplode_outer("words").alias("at", "word"))
+    last = F.size("words") - size
+    runs = runs.where(_low(F.col("word")) & (F.col("at") <= F.when(last >= part, last)))
+    if part:
+        runs = runs.where(~_low(F.get("words", F.col("at") + 1)))
+    inner = (F.col("at") > 0) & (F.col("at") < last) & F.lit(part > 0)
+    token = F.xxhash64(*(F.get("words", F.col("at") + k) for k in range(size)))
+    runs = runs.select(token.alias("token"), "c1", F.when(inner, 2).otherwise(1).alias("weight"))
+    once = runs.groupBy("token").agg(F.min("c1").alias("c1"), F.max("c1").alias("other"), F.min("weight").alias("weight")).where("c1 = other")
     return once.groupBy("c1").agg(F.sum("weight").alias("alone"))
 
 
@@ -117,9 +116,8 @@ def matched_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     heads = own.keep(heads.where("n > 1 or open").select("c1", "c2", "at", "n", "open"), "heads")
 
     sets = own.keep(_sets(docs, heads.where("open").select("at", "c1", "c2"), id_col, text_col, shingle), "sets")
-    every = own.keep(rare_prefixes(sets, ["c1", "c2"], ["at"], least, of).select("token", "at", "n", "rest"), "prefixes")
-    meet = every.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    rows = own.keep(every.join(meet, "token"), "entries")
+    every = own.keep(rare_prefixes(sets, ["c1", "c2"], ["at"], least, of, sort=True).select("token", "at", "n", "rest"), "prefixes")
+    rows = own.keep(every.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1").drop("m"), "entries")
     # verification reads the sets of lines that meet another
     few = own.keep(sets.select("at", "tokens").join(rows.select("at").distinct(), "at", "left_semi"), "sets")
     own.drop(every, sets)
@@ -137,10 +135,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
     """The wanted lines (at, c1, c2), each of at least one shingle, with all their tokens."""
     wanted = wanted.groupBy("at.id", "at.digest").agg(F.collect_list(F.struct("at.line_no", "c1", "c2")).alias("wanted"))
     texts = docs.select(*_key(id_col, text_col), text_or_empty(text_col).alias("text")).join(wanted, ["id", "digest"])
-    lines = texts.select("id", "digest", "wanted", F.split(_fold(F.col("text")), "\n").alias("lines"))
+    lines = texts.select("id", "digest", "wanted", F.split("text", "\n").alias("lines"))
     lines = lines.select("id", "digest", "lines", F.explode("wanted").alias("x"))
-    lines = lines.select(F.struct("id", "digest", "x.line_no").alias("at"), "x.c1", "x.c2", _words(F.get("lines", F.col("x.line_no"))).alias("words"))
-    tokens = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - shingle), lambda at: _hash(shingle, at)))
+    lines = lines.select(F.struct("id", "digest", "x.line_no").alias("at"), "x.c1", "x.c2", _fold(F.get("lines", F.col("x.line_no"))).alias("line"))
+    lines = lines.select("at", "c1", "c2", _even("line").alias("line"))
+    each = F.regexp_extract_all(F.concat(F.lit(" "), "line"), F.lit(f" (?=({' '.join(['[^ ]+'] * shingle)}))"), F.lit(1))
+    tokens = F.array_distinct(F.transform(each, lambda words: F.xxhash64(words)))
     lines = lines.select("at", "c1", "c2", tokens.alias("tokens"))
     return lines.groupBy("c1", "c2").agg(F.first("at").alias("at"), F.first("tokens").alias("tokens"))  # equal rows are one
 

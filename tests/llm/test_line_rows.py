@@ -10,6 +10,7 @@ from collections import Counter
 import pytest
 
 from quarry.llm import line_dedup, substring_dedup
+from quarry.llm._rare import rare_prefixes
 
 A, B, C = "first line of words", "second line that nobody else has", "a third line here"
 ROWS = [
@@ -122,3 +123,18 @@ def test_lowered_bytes(spark):
     got = dict(frame.select("k", line_dedup._fold(line_dedup.F.col("t"))).collect())
     plain = [re.sub("[\t\x0b\x0c\r]", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) for t in rows]
     assert len({got[k] for k in got}) == len(set(plain)) and all((got[a] == got[b]) == (plain[a] == plain[b]) for a in got for b in got)
+
+
+def test_lines_split_once(spark):
+    """Spark infers no filters that split every line again before its words are made rows."""
+    lines = spark.createDataFrame([(1, "a b c d e f")], "c1 long, line string")
+    plan = line_dedup._alone(lines, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1, plan
+
+
+def test_prefixes_by_sort(spark):
+    """Tokens counted by a sort give the prefixes that tokens counted by hash give."""
+    r = random.Random(3)
+    sets = spark.createDataFrame([(k, k % 7, r.sample(range(1, 60), r.randint(1, 30))) for k in range(200)], "c long, at long, tokens array<long>").repartition(4)
+    both = [Counter(tuple(x) for x in rare_prefixes(sets, ["c"], ["at"], 60, 100, sort=sort).collect()) for sort in (True, False)]
+    assert both[0] == both[1] and sum(both[0].values()) > 200
