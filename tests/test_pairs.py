@@ -74,3 +74,18 @@ def test_pairs_are_not_dealt(spark):
     for df in (pairs, new):
         above = df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
         assert re.search("target_id", above) and not re.search("Join|Aggregate|Window|Sort|Repartition", above)
+
+
+def test_runs_of_pairs(spark, tmp_path, monkeypatch):
+    """Call sites follow each other within a run of ids, so a file of pairs takes a small part of a byte for each;
+    runs of any length have the same pairs."""
+    symbols = spark.range(2000).select("id", F.lit("A.run").alias("name"))
+    calls = symbols.select(F.col("id").alias("call_id"), F.col("id").alias("source_id"), F.lit("run").alias("callee"), F.lit("A.run").alias("target"), F.lit(False).alias("generic"))
+    index.callsite_edges(calls, symbols).write.parquet(str(tmp_path / "pairs"))
+    rows = spark.read.parquet(str(tmp_path / "pairs"))
+    assert rows.select("source_id", "target_id").distinct().count() == rows.count() == 2000 * 1999
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * 2000 * 1999
+    calls = spark.createDataFrame(CALLS, "call_id long, source_id long, callee string, target string, generic boolean")
+    monkeypatch.setattr(index, "_RUN", 3)
+    got = [tuple(r) for r in index.callsite_edges(calls, spark.createDataFrame(NAMES, "id long, name string")).collect()]
+    assert len(got) == len(candidates()) and set(got) == candidates()
