@@ -89,3 +89,14 @@ def test_runs_of_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index, "_RUN", 3)
     got = [tuple(r) for r in index.callsite_edges(calls, spark.createDataFrame(NAMES, "id long, name string")).collect()]
     assert len(got) == len(candidates()) and set(got) == candidates()
+
+
+def test_lines_are_dealt_once(spark):
+    """Open and resolved edges come from one exchange of the orders' lines."""
+    from quarry.plans import registry
+
+    for name in ("callsites_new_edges", "callsites_from_edges"):
+        found = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(re.findall(r"FileScan parquet \[[^\]]*l_orderkey", plan)) == 1, plan
